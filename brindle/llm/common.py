@@ -33,6 +33,12 @@ def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs as a written table with a unique row number, __uid: an identity for rows whatever their
+    ids, that a recomputed task can't change."""
+    return written(docs.withColumn("__uid", F.monotonically_increasing_id()), "numbered")
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete every table that `written` left in the shared folder."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()

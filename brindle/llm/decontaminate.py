@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sha256_hex, written
+from .common import numbered, sha256_hex, written
 
 WINDOW = 13
 SET_BOUND = 200_000
@@ -149,3 +149,25 @@ def contamination(
         F.coalesce(F.array_sort("spans"), F.expr("cast(array() as array<struct<at: int, len: int>>)")).alias("spans"),
     )
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs without its contaminated rows, and with the covered words (each with the gap after it)
+    cut out of the others.  All columns stay; untouched texts are unchanged."""
+    rows = numbered(docs)
+    found = contamination(rows, benchmark, id_col="__uid", text_col=text_col).where("n_hit > 0")
+    found = written(
+        found.select(F.col("doc_id").alias("__uid"), F.col("contaminated").alias("__bad"), F.col("spans").alias("__spans")),
+        "contaminated",
+    )
+    gaps = GAPS.replace("\\", "\\\\")
+    # bound once by the transform of a one-element array: pieces, gaps between them, hit spans
+    bound = f"transform(array(struct(split({text_col}, '{gaps}', -1) as p, regexp_extract_all({text_col}, '{gaps}', 0) as g)), x -> "
+    kept = (
+        "array_join(transform(sequence(0, size(x.p) - 1), i -> if(x.p[i] <> '' and exists(__spans, "
+        "s -> s.at <= i - int(x.p[0] = '') and i - int(x.p[0] = '') < s.at + s.len), '', "
+        "concat(x.p[i], if(i < size(x.g), x.g[i], '')))), ''))[0]"
+    )
+    joined = rows.join(found, "__uid", "left").where("not coalesce(__bad, false)")
+    cut = F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(F.expr(bound + kept))
+    return joined.withColumn(text_col, cut).select(*docs.columns)

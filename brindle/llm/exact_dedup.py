@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, utf8, written
+from .common import numbered, shuffle_partitions, utf8, written
 
 FP_BITS = 48
 CHUNK_BYTES = 8 << 20
@@ -87,9 +87,9 @@ def _send(owners: int):
         base = TaskContext.get().partitionId() << 32
         chunk, ids, norms, size = 0, [], [], 0
         for batch in batches:
-            for doc_id, raw in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
+            for doc_id, raw, row in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), batch.column(2).to_pylist()):
                 norm = normalise(raw)
-                ids.append(doc_id)
+                ids.append((doc_id, row))
                 norms.append(norm)
                 size += len(norm) + 64
                 if size >= CHUNK_BYTES:
@@ -116,7 +116,8 @@ def _send(owners: int):
                 pa.array((np.arange(len(keys)) - first)[back].astype(np.int32)),
                 pa.array(counts[back] > 1),
                 pa.array(np.arange(n, dtype=np.int32)),
-                pa.array(ids, pa.int64()),
+                pa.array([x for x, _ in ids], pa.int64()),
+                pa.array([x for _, x in ids], pa.int64()),
                 pa.array([x.hex() for x in digests]),
                 pa.array(norms, pa.binary()).cast(pa.string()),
                 pa.nulls(n, pa.binary()),
@@ -134,6 +135,7 @@ def _send(owners: int):
                 pa.nulls(m, pa.bool_()),
                 pa.array(ks, pa.int32()),
                 pa.nulls(m, pa.int64()),
+                pa.nulls(m, pa.int64()),
                 pa.nulls(m, pa.string()),
                 pa.nulls(m, pa.string()),
                 pa.array(
@@ -149,9 +151,9 @@ def _send(owners: int):
 
 #: kind 0: a row (slot = place among the chunk's prints for that owner, pos = place in the chunk);
 #: kind 1: a message (slot = number of prints, pos = Golomb parameter).
-NAMES = ["kind", "chunk", "owner", "slot", "twice", "pos", "doc_id", "text_sha256", "norm", "payload"]
+NAMES = ["kind", "chunk", "owner", "slot", "twice", "pos", "doc_id", "row_id", "text_sha256", "norm", "payload"]
 SENT = (
-    "kind int, chunk long, owner int, slot int, twice boolean, pos int, doc_id long, "
+    "kind int, chunk long, owner int, slot int, twice boolean, pos int, doc_id long, row_id long, "
     "text_sha256 string, norm string, payload binary"
 )
 
@@ -189,11 +191,18 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     )
 
 
-def duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
+def duplicate_classes(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None
+) -> DataFrame:
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256, and row_id, the long of
+    row_col where given."""
     spark = docs.sparkSession
     owners = 4 * shuffle_partitions(spark)
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    row = F.col(row_col).cast("long") if row_col else F.lit(None).cast("long")
+    source = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), row.alias("row_id")
+    )
+    more = ["row_id"] if row_col else []
     sent = written(source.mapInArrow(_send(owners), SENT), "exact-sent", by="kind")
 
     messages = sent.where("kind = 1").select("chunk", "owner", F.col("slot").alias("n"), "pos", "payload")
@@ -221,27 +230,21 @@ def duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         F.lit(1).cast("long").alias("group_size"),
         F.lit(True).alias("kept"),
         "text_sha256",
+        *more,
     )
-    grouped = suspects.select("text_sha256", "doc_id", "chunk", "pos").join(classes, "text_sha256").select(
+    grouped = suspects.select("text_sha256", "doc_id", "chunk", "pos", *more).join(classes, "text_sha256").select(
         "doc_id",
         F.col("keep.doc_id").alias("keep_id"),
         "group_size",
         ((F.col("keep.chunk") == F.col("chunk")) & (F.col("keep.pos") == F.col("pos"))).alias("kept"),
         "text_sha256",
+        *more,
     )
     return single.unionByName(grouped)
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose text no row with a smaller id holds; all columns stay.
-
-    Rows that agree in id and text are the same record, of which one stays."""
-    classes = duplicate_classes(docs, id_col, text_col).where("kept").select(
-        F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")
-    )
-    keyed = docs.withColumn(
-        "__sha",
-        F.sha2(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+", " ").cast("binary"), 256),
-    )
-    same = (keyed["__sha"] == classes["__sha"]) & keyed[id_col].cast("long").eqNullSafe(classes["__id"])
-    return keyed.join(classes, same, "left_semi").dropDuplicates([id_col, "__sha"]).drop("__sha")
+    """The rows of docs that stay, all columns unchanged."""
+    rows = numbered(docs)
+    dropped = duplicate_classes(rows, id_col, text_col, "__uid").where("not kept").select(F.col("row_id").alias("__uid"))
+    return rows.join(written(dropped, "exact-drops"), "__uid", "left_anti").select(*docs.columns)

@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, pii, quality, sentencepiece_bpe, sharding, simhash, substring_dedup, url_rules
+from . import (
+    decontaminate,
+    exact_dedup,
+    pii,
+    quality,
+    sentencepiece_bpe,
+    sharding,
+    simhash,
+    substring_dedup,
+    transcripts,
+    url_rules,
+)
 from .common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -34,6 +45,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.round_trip(table(spark, sf_dir, "documents"), VOCABULARY, public_tokenizers.PATTERN)
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transcripts.recover(table(spark, sf_dir, "conversations"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), SHARDS)
 
@@ -65,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_pii,
         op2_exact_dedup,
         op3_byte_bpe,
+        op4_chat_format,
         op5_sharding,
         op6_simhash,
         op7_url_filter,
@@ -73,3 +89,40 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_substring_dedup,
     )
 }
+
+WHITE = r"[\x20\x09-\x0D]+"
+SQL = {
+    "op2_exact_dedup": f"""
+        with n as (select doc_id, regexp_replace(coalesce(text, ''), '{WHITE}', ' ', 'g') as t from documents),
+        g as (select t, min(doc_id) as keep_id, count(*) as group_size from n group by t)
+        select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(t) as text_sha256 from n join g using (t)""",
+    "op7_url_filter": """
+        with u as (select page_id, case when contains(coalesce(url, ''), '://') then substr(url, instr(url, '://') + 3) else '' end as r from pages),
+        h as (select page_id, translate(regexp_extract(r, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+              regexp_extract(r, '^[^/?#]*([^?#]*)', 1) as path from u),
+        rules(rhost, rpath, rverdict) as (values ('com', '/', 'allow'), ('example.com', '/en/', 'block'),
+              ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+        m as (select page_id, arg_max(rhost || rpath, length(rhost || rpath)) as rule, arg_max(rverdict, length(rhost || rpath)) as v
+              from h join rules on (host = rhost or ends_with(host, '.' || rhost)) and starts_with(path, rpath) group by page_id)
+        select page_id, host, path, rule, coalesce(v, 'allow') as verdict from h left join m using (page_id)""",
+    "op8_decontaminate": """
+        with recursive w(id, item, words) as (
+            select 'd' || doc_id, false, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') from documents
+            union all
+            select cast(item_id as varchar), true, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') from benchmark),
+        b as (select distinct id as item_id, least(len(words), 13) as n,
+              unnest([array_to_string(words[i + 1 : i + least(len(words), 13)], ' ') for i in range(0, greatest(len(words) - 13, 0) + 1)]) as win
+              from w where item and len(words) > 0),
+        lens as (select distinct n from b),
+        at as (select id, n, unnest(range(0, len(words) - n + 1)) as i, words from w, lens where not item and len(words) >= n),
+        hits as (select id, i, at.n, item_id from at join b on at.n = b.n and array_to_string(words[i + 1 : i + at.n], ' ') = win),
+        cover as (select id, count(distinct k) as n_hit from (select id, unnest(range(i, i + n)) as k from hits) group by id),
+        items as (select id, count(*) as n_items, string_agg(item_id, ',' order by item_id) as listed
+                  from (select distinct id, item_id from hits) group by id)
+        select doc_id, len(words) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+               sha256(coalesce(listed, '')) as items_sha256,
+               coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(words) as contaminated
+        from documents join w on w.id = 'd' || doc_id and not item left join cover using (id) left join items using (id)""",
+}
