@@ -12,8 +12,9 @@ as many as windows) never counts a window too low.
 2. Each task hashes its windows to 128 bits and keeps those whose anchor is estimated repeated.
    A window that repeats inside a chunk of rows is known to be repeated; the chunk announces it
    without an address.  Other suspects go to the owner of their hash with an address (hash of the
-   text, position).  Owners group exactly and return the addresses of repeated windows.
-3. Texts meet the returned positions by the 128-bit hash of the text (equal texts have equal
+   text, position).  Owners group exactly and send the addresses of repeated windows, packed, to
+   the owners of the texts, which assemble one row for each text.
+3. Texts meet their rows by the 128-bit hash of the text (equal texts have equal
    answers), and covered words go.
 
 A chunk sends each window once and handles equal texts once, so a text or passage that a third of
@@ -61,10 +62,11 @@ class Words:
         seen = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])
         self.bounds = seen[offsets - offsets[0]]
         coded = flat.filter(full).dictionary_encode()
+        self.codes = coded.indices.to_numpy().astype(np.int64)
         digests = np.frombuffer(
             b"".join([xxhash.xxh128_digest(x) for x in coded.dictionary.cast(pa.binary()).to_pylist()]), np.uint64
         ).reshape(-1, 2)
-        self.words = [digests[:, i][coded.indices.to_numpy()] if len(digests) else np.zeros(0, np.uint64) for i in (0, 1)]
+        self.words = [digests[:, i][self.codes] if len(digests) else np.zeros(0, np.uint64) for i in (0, 1)]
 
     def starts(self, n: int) -> np.ndarray:
         """Mask over words: an n-word window of one text starts here."""
@@ -310,57 +312,106 @@ def _suspects(window: int, bits: int, owners: int, sketch):
     return run
 
 
+ANSWERS = "owner int, t1 long, t2 long, runs array<int>, docs binary, sizes binary, at binary"
 FOUND = "t1 long, t2 long, runs array<int>, at array<int>"
 
 
-def _group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Exact grouping of the suspects of one owner."""
-    parts, tables, held = [], [], 0
-    names = ["t1", "t2", "runs", "at"]
+def _group(owners: int):
+    """Exact grouping of one owner's suspects; the answers are packed by the owner of the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, tables, held = [], [], 0
+        for batch in batches:
+            own = batch.filter(pc.is_valid(batch.column("t1")))
+            if own.num_rows:  # places known already go on as they are
+                none = pa.nulls(own.num_rows, pa.binary())
+                cols = [own.column(x) for x in ("owner", "t1", "t2", "runs")]
+                yield pa.record_batch([*cols, none, none, none], names=NAMES)
+            for packed, table in zip(batch.column("entries").to_pylist(), batch.column("docs").to_pylist()):
+                if packed is None:
+                    continue
+                n = len(packed) // ENTRY.itemsize
+                part, start = np.empty(n, ENTRY), 0
+                for x in ENTRY.names:
+                    size = n * ENTRY[x].itemsize
+                    part[x] = np.frombuffer(packed[start : start + size], ENTRY[x])
+                    start += size
+                sent = part["doc"] != KNOWN
+                part["doc"][sent] += np.uint32(held)
+                held += len(table) // 16
+                parts.append(part)
+                tables.append(np.frombuffer(table, np.int64).reshape(-1, 2))
+        if not parts:
+            return
+        entries, ids = np.concatenate(parts), np.concatenate(tables)
+        parts.clear()
+        entries = entries[np.lexsort((entries["b"], entries["a"]))]
+        new = np.ones(len(entries), bool)
+        new[1:] = (entries["a"][1:] != entries["a"][:-1]) | (entries["b"][1:] != entries["b"][:-1])
+        sizes = np.diff(np.append(np.flatnonzero(new), len(entries)))
+        hit = np.repeat(sizes > 1, sizes) & (entries["doc"] != KNOWN)
+        found = entries[["doc", "at"]][hit]
+        if not len(found):
+            return
+        text, back = np.unique(ids[found["doc"]], axis=0, return_inverse=True)
+        to = text[:, 0] % owners
+        order = np.lexsort((found["at"], back, to[back]))
+        at, sizes = found["at"][order], np.bincount(back, minlength=len(text)).astype(np.uint32)
+        order = np.argsort(to, kind="stable")
+        text, sizes, to = text[order], sizes[order], to[order]
+        cuts = np.flatnonzero(np.diff(to, prepend=-1))
+        ends = np.append(0, np.cumsum(sizes, dtype=np.int64))[cuts]
+        m = len(cuts)
+        yield pa.record_batch(
+            [
+                pa.array(to[cuts].astype(np.int32)),
+                pa.nulls(m, pa.int64()),
+                pa.nulls(m, pa.int64()),
+                pa.nulls(m, pa.list_(pa.int32())),
+                pa.array([x.tobytes() for x in np.split(text, cuts[1:])], pa.binary()),
+                pa.array([x.tobytes() for x in np.split(sizes, cuts[1:])], pa.binary()),
+                pa.array([x.tobytes() for x in np.split(at, ends[1:])], pa.binary()),
+            ],
+            names=NAMES,
+        )
+
+    return run
+
+
+NAMES = ["owner", "t1", "t2", "runs", "docs", "sizes", "at"]
+
+
+def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each text of this owner: known runs, and places of repeated windows."""
+    known: dict[tuple[int, int], list] = {}
+    tables, sizes, places = [], [], []
     for batch in batches:
-        own = batch.filter(pc.is_valid(batch.column("t1")))
-        if own.num_rows:
-            yield pa.record_batch(
-                [own.column("t1"), own.column("t2"), own.column("runs"), pa.nulls(own.num_rows, pa.list_(pa.int32()))],
-                names=names,
-            )
-        for packed, table in zip(batch.column("entries").to_pylist(), batch.column("docs").to_pylist()):
-            if packed is None:
-                continue
-            n = len(packed) // ENTRY.itemsize
-            part, start = np.empty(n, ENTRY), 0
-            for x in ENTRY.names:
-                size = n * ENTRY[x].itemsize
-                part[x] = np.frombuffer(packed[start : start + size], ENTRY[x])
-                start += size
-            sent = part["doc"] != KNOWN
-            part["doc"][sent] += np.uint32(held)
-            held += len(table) // 16
-            parts.append(part)
-            tables.append(np.frombuffer(table, np.int64).reshape(-1, 2))
-    if not parts:
-        return
-    entries, ids = np.concatenate(parts), np.concatenate(tables)
-    parts.clear()
-    entries = entries[np.lexsort((entries["b"], entries["a"]))]
-    new = np.ones(len(entries), bool)
-    new[1:] = (entries["a"][1:] != entries["a"][:-1]) | (entries["b"][1:] != entries["b"][:-1])
-    sizes = np.diff(np.append(np.flatnonzero(new), len(entries)))
-    hit = np.repeat(sizes > 1, sizes) & (entries["doc"] != KNOWN)
-    found = entries[["doc", "at"]][hit]
-    if not len(found):
+        for t1, t2, runs, docs, size, at in zip(*(batch.column(x).to_pylist() for x in NAMES[1:])):
+            if docs is None:
+                known.setdefault((t1, t2), []).append(runs)
+            else:
+                tables.append(np.frombuffer(docs, np.int64).reshape(-1, 2))
+                sizes.append(np.frombuffer(size, np.uint32))
+                places.append(np.frombuffer(at, np.uint32))
+    if known:
+        tables.append(np.array(list(known), np.int64))
+        sizes.append(np.zeros(len(known), np.uint32))
+    if not tables:
         return
-    text, back = np.unique(ids[found["doc"]], axis=0, return_inverse=True)
-    order = np.lexsort((found["at"], back))
-    offsets = np.append(0, np.cumsum(np.bincount(back, minlength=len(text)))).astype(np.int32)
+    text, back = np.unique(np.concatenate(tables), axis=0, return_inverse=True)
+    size = np.concatenate(sizes).astype(np.int64)
+    of = np.repeat(back, size)
+    at = np.concatenate(places)[np.argsort(of, kind="stable")].astype(np.int32) if places else np.zeros(0, np.int32)
+    offsets = np.append(0, np.cumsum(np.bincount(of, minlength=len(text)))).astype(np.int32)
+    runs = [list({tuple(r) for r in known.get(t, ())}) for t in map(tuple, text.tolist())]
     yield pa.record_batch(
         [
             pa.array(text[:, 0]),
             pa.array(text[:, 1]),
-            pa.nulls(len(text), pa.list_(pa.int32())),
-            pa.ListArray.from_arrays(pa.array(offsets), pa.array(found["at"][order].astype(np.int32))),
+            pa.array([[x for r in own for x in r] for own in runs], pa.list_(pa.int32())),
+            pa.ListArray.from_arrays(pa.array(offsets), pa.array(at)),
         ],
-        names=names,
+        names=["t1", "t2", "runs", "at"],
     )
 
 
@@ -372,16 +423,13 @@ def _remove(window: int, digest: bool):
             for raw, runs, at in zip(texts, batch.column("runs"), batch.column("at")):
                 words = (raw.as_py() or b"").split()
                 total = len(words)
-                if runs.is_valid or at.is_valid:
+                if at.is_valid:
                     change = np.zeros(total + 1, np.int64)
-                    for x in at.values if at.is_valid else ():
-                        place = x.values.to_numpy()
-                        np.add.at(change, place, 1)
-                        np.add.at(change, place + window, -1)
-                    for x in runs.values if runs.is_valid else ():
-                        pairs = x.values.to_numpy()
-                        np.add.at(change, pairs[::2], 1)
-                        np.add.at(change, pairs[1::2] + window, -1)
+                    place, pairs = at.values.to_numpy(), runs.values.to_numpy()
+                    np.add.at(change, place, 1)
+                    np.add.at(change, place + window, -1)
+                    np.add.at(change, pairs[::2], 1)
+                    np.add.at(change, pairs[1::2] + window, -1)
                     clean = (np.cumsum(change[:total]) == 0).tolist()
                     words = [w for w, c in zip(words, clean) if c]
                 kept = b" ".join(words)
@@ -413,8 +461,8 @@ def remove_repeats(
     sketch = spark.sparkContext.broadcast(merged_sketch(rows, window, bits))  # at most 64 MB
     owners = shuffle_partitions(spark)
     sent = rows.select("text", "t1", "t2").mapInArrow(_suspects(window, bits, owners, sketch), SUSPECTS)
-    found = sent.repartitionById(owners, "owner").mapInArrow(_group, FOUND)
-    found = found.groupBy("t1", "t2").agg(F.collect_set("runs").alias("runs"), F.collect_list("at").alias("at"))
+    answers = sent.repartitionById(owners, "owner").mapInArrow(_group(owners), ANSWERS)
+    found = answers.repartitionById(owners, "owner").mapInArrow(_assemble, FOUND)
     return rows.join(found, ["t1", "t2"], "left").select("doc_id", "text", "runs", "at").mapInArrow(
         _remove(window, digest),
         f"doc_id long, n_words long, n_removed long, {'kept_sha256' if digest else 'kept'} string",
