@@ -32,7 +32,8 @@ def integer(value: Column, kind: T.DataType) -> Column:
 
 
 def small(value: Column, kind: T.DataType) -> Column:
-    return F.least(integer(value, kind), F.lit(SMALL_MOST)).cast("int")
+    whole = integer(value, kind)
+    return F.when(whole > SMALL_MOST, SMALL_MOST).otherwise(whole).cast("int")
 
 
 def seconds(value: Column, kind: T.DataType) -> Column:

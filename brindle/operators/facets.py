@@ -11,7 +11,6 @@ from ..sources.namespace import Namespace, SchemaError
 from .predicates import between
 
 COUNT = 10
-KINDS = {"literal": "text", "boolean": "flag"}
 
 
 def facetable(ns: Namespace, name: str):
@@ -21,6 +20,19 @@ def facetable(ns: Namespace, name: str):
     return f
 
 
+def _entry(name: str, text: bool):
+    """A value of a facet: literals as text, all others as a number."""
+
+    def make(value):
+        return F.struct(
+            F.lit(name).alias("facet"),
+            (value if text else F.lit(None)).cast("string").alias("text"),
+            (F.lit(None) if text else value).cast("double").alias("number"),
+        )
+
+    return make
+
+
 def value_facets(df: DataFrame, ns: Namespace, told: Mapping[str, Mapping]) -> DataFrame:
     """facet, rank, text, number, count: of each facet the first values by count, then value.
 
@@ -33,34 +45,26 @@ def value_facets(df: DataFrame, ns: Namespace, told: Mapping[str, Mapping]) -> D
         if order not in ("ASC", "DESC"):
             raise SchemaError(f"facet {name}: unknown order {order}")
         orders[name], limits[name] = order, int(spec.get("count", COUNT))
-        kind = KINDS.get(f.type, "number")
-
-        def entry(value, name=name, kind=kind):
-            return F.struct(
-                F.lit(name).alias("facet"),
-                (value if kind == "text" else F.lit(None)).cast("string").alias("text"),
-                (F.lit(None) if kind == "text" else value.cast("double")).cast("double").alias("number"),
-            )
-
-        parts.append(F.transform(f.name, entry) if f.array else F.array(entry(F.col(f.name))))
+        entry = _entry(name, f.type == "literal")
+        none = F.array().cast("array<struct<facet:string,text:string,number:double>>")
+        parts.append(F.coalesce(F.transform(f.name, entry), none) if f.array else F.array(entry(F.col(f.name))))
     melted = df.select(F.explode(F.concat(*parts)).alias("e")).select("e.*")
     counts = (
         melted.where("(text is not null and text <> '') or number is not null")
         .groupBy("facet", "text", "number")
         .agg(F.count(F.lit(1)).alias("count"))
     )
-    # one ranking for both directions: mirror what sorts downwards
+    # one window for both directions: a facet's rows all go one way, so each key that sorts upwards
+    # has a twin that sorts downwards, and one of the two is null throughout
     down = F.col("facet").isin(*[n for n, o in orders.items() if o == "DESC"] or [""])
-    ranked = []
-    for which, direction in ((~down, "asc"), (down, "desc")):
-        keys = [getattr(F.col(c) if isinstance(c, str) else c, direction)() for c in ("count", F.lower("text"), "text", "number")]
-        top = Window.partitionBy("facet").orderBy(*keys)
-        own = counts.where(which).withColumn("rank", F.row_number().over(top))
-        ranked.append(own.where(F.col("rank") <= max(limits.values())))
+    sign = F.when(down, -1).otherwise(1)
+    keys = [sign * F.col("count")]
+    for key in (F.lower("text"), F.col("text")):
+        keys += [F.when(~down, key).asc(), F.when(down, key).desc()]
+    top = Window.partitionBy("facet").orderBy(*keys, sign * F.col("number"))
+    ranked = counts.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= max(limits.values()))
     cut = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair])
-    return (
-        ranked[0].unionByName(ranked[1]).where(F.col("rank") <= cut[F.col("facet")]).select("facet", "rank", "text", "number", "count")
-    )
+    return ranked.where(F.col("rank") <= cut[F.col("facet")]).select("facet", "rank", "text", "number", "count")
 
 
 def bucket_label(bucket: Mapping) -> str:

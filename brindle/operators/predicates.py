@@ -52,6 +52,17 @@ def _each(f: FieldDef, column: str, test: Callable[[Column], Column]) -> Column:
     return F.exists(column, test) if f.array else test(F.col(column))
 
 
+def _affix(bare: str, head: bool, tail: bool) -> Callable[[Column], Column]:
+    """Starts with, ends with, or both."""
+
+    def test(c: Column) -> Column:
+        if head and tail:
+            return c.startswith(bare) & c.endswith(bare)
+        return c.startswith(bare) if head else c.endswith(bare)
+
+    return test
+
+
 def _literals(f: FieldDef, values: list) -> Column:
     exact, tests = [], []
     for v in values:
@@ -66,12 +77,8 @@ def _literals(f: FieldDef, values: list) -> Column:
         bare = text.normalise(raw)
         if f.stem and not head and not tail:
             bare = text.STEMMERS.get(f.lang, lambda w: w)(bare)
-        if head and tail:
-            tests.append(_each(f, norm(f.name), lambda c, b=bare: c.startswith(b) & c.endswith(b)))
-        elif head:
-            tests.append(_each(f, norm(f.name), lambda c, b=bare: c.startswith(b)))
-        elif tail:
-            tests.append(_each(f, norm(f.name), lambda c, b=bare: c.endswith(b)))
+        if head or tail:
+            tests.append(_each(f, norm(f.name), _affix(bare, head, tail)))
         else:
             exact.append(bare)
     if exact:
@@ -179,10 +186,6 @@ def _word(f: FieldDef, token: str, lang: str) -> Column | None:
     if not bare:
         return None
     head, tail = token.endswith("*") and f.prefix, token.startswith("*") and f.suffix
-    if head and tail:
-        return F.exists(column, lambda t: t.startswith(bare) & t.endswith(bare))
-    if head:
-        return F.exists(column, lambda t: t.startswith(bare))
-    if tail:
-        return F.exists(column, lambda t: t.endswith(bare))
+    if head or tail:
+        return F.exists(column, _affix(bare, head, tail))
     return F.array_contains(column, text.STEMMERS.get(lang, lambda w: w)(bare) if f.stem else bare)

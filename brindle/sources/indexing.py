@@ -52,10 +52,12 @@ def read_json(raw: DataFrame, ns: Namespace, column: str = "value") -> DataFrame
     for f in ns.fields.values():
         if f.name == "id":
             continue
-        at = f"$['{f.name}']"
+        # a derived boolean is the truth of the source as it stands in the document
+        at = f"$['{f.sources[0] if f.type == 'boolean' and f.sources else f.name}']"
         part = F.try_variant_get("_v", at, "variant")
         if f.type == "boolean":
-            out.append(coerce.variant_truth(part).alias(f.name))
+            there = F.schema_of_variant(part) != "VOID"
+            out.append(F.when(there, coerce.variant_truth(part)).alias(f.name))
         elif f.type == "geo":
             pair = F.try_variant_get("_v", at, "array<double>")
             out.append(F.struct(F.get(pair, 0).alias("lat"), F.get(pair, 1).alias("lon")).alias(f.name))
@@ -83,7 +85,8 @@ def with_defaults(df: DataFrame, ns: Namespace) -> DataFrame:
     for f in ns.fields.values():
         if f.type == "text" and f.sources:
             continue
-        source = f.sources[0] if f.sources else f.name
+        told = f.type == "boolean" and isinstance(df.schema[f.name].dataType if f.name in df.columns else None, T.BooleanType)
+        source = f.sources[0] if f.sources and not told else f.name
         if source not in df.columns:
             kind = T.BooleanType() if f.type == "boolean" else T.StringType()
             value = F.lit(None).cast(kind)
@@ -91,7 +94,7 @@ def with_defaults(df: DataFrame, ns: Namespace) -> DataFrame:
             kind = df.schema[source].dataType
             value = coerce.present(F.col(source), kind)
         if f.type == "boolean" and not isinstance(kind, T.BooleanType):
-            value, kind = coerce.truth(value, kind), T.BooleanType()
+            value, kind = F.when(value.isNotNull(), coerce.truth(value, kind)), T.BooleanType()
         own = _default(f, kind)
         if f.type == "boolean":
             value = F.coalesce(value, F.lit(bool(f.default)))
