@@ -108,10 +108,10 @@ SQL = {
     "op8_decontaminate": """
         with recursive w(id, item, words) as (
             select 'd' || doc_id, false, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-                'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') from documents
+                'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') from documents
             union all
             select cast(item_id as varchar), true, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-                'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') from benchmark),
+                'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') from benchmark),
         b as (select distinct id as item_id, least(len(words), 13) as n,
               unnest([array_to_string(words[i + 1 : i + least(len(words), 13)], ' ') for i in range(0, greatest(len(words) - 13, 0) + 1)]) as win
               from w where item and len(words) > 0),
