@@ -167,12 +167,10 @@ class Machine:
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        bounds, ids, values = features(batch.column(1))
+        bounds, ids, values = features(batch.column(2))
         at = pa.array(bounds.astype(np.int32))
-        yield pa.record_batch(
-            [batch.column(0), pa.ListArray.from_arrays(at, pa.array(ids.astype(np.int32))), pa.ListArray.from_arrays(at, pa.array(values))],
-            names=["label", "ids", "x"],
-        )
+        lists = [pa.ListArray.from_arrays(at, pa.array(x)) for x in (ids.astype(np.int32), values)]
+        yield pa.record_batch([batch.column(0), batch.column(1), *lists], names=["id", "label", "ids", "x"])
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", bound: int = TRAIN_ROWS):
@@ -185,8 +183,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         .limit(bound)
     )
     rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("text"))
-    joined = rows.join(F.broadcast(sample), "__id").select("label", "text", "__id")  # at most `bound` rows
-    got = joined.select("label", "text").mapInArrow(_extract, "label int, ids array<int>, x array<float>")
+    joined = rows.join(F.broadcast(sample), "__id").select("__id", "label", "text")  # the sample has `bound` rows at most
+    got = joined.mapInArrow(_extract, "id long, label int, ids array<int>, x array<float>")
     data = got.limit(2 * bound).toArrow().combine_chunks()
     label = data["label"].to_numpy().astype(np.float64)
     if len(label) == 0 or label.min() == label.max():
@@ -196,7 +194,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     ids = lists.values.to_numpy().astype(np.int64)
     values = data["x"].combine_chunks().values.to_numpy()
     # rows in one order whatever the partitions
-    order = np.lexsort((ids[bounds[:-1]], np.diff(bounds), label))
+    order = np.lexsort((np.diff(bounds), data["id"].to_numpy()))
     sizes = np.diff(bounds)[order]
     ends = np.cumsum(sizes)
     take = np.arange(ends[-1]) - np.repeat(ends - sizes, sizes) + np.repeat(bounds[order], sizes)

@@ -125,4 +125,15 @@ SQL = {
                sha256(coalesce(listed, '')) as items_sha256,
                coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(words) as contaminated
         from documents join w on w.id = 'd' || doc_id and not item left join cover using (id) left join items using (id)""",
+    "op10_substring_dedup": f"""
+        with w as (select doc_id, row_number() over () as u, list_filter(string_split_regex(coalesce(text, ''), '{WHITE}'), lambda x: x <> '') as words
+                   from documents),
+        k as (select u, i, array_to_string(words[i + 1 : i + 35], ' ') as win
+              from (select u, words, unnest(range(0, len(words) - 34)) as i from w where len(words) >= 35)),
+        twice as (select win from k group by win having count(*) > 1),
+        gone as (select u, list(p) as places, count(*) as n from
+                 (select distinct u, unnest(range(i, i + 35)) as p from k join twice using (win)) group by u)
+        select doc_id, len(words) as n_words, coalesce(n, 0) as n_removed,
+               sha256(array_to_string(case when n is null then words else list_filter(words, lambda x, i: not list_contains(places, i - 1)) end, ' ')) as kept_sha256
+        from w left join gone using (u)""",
 }
