@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,12 +13,15 @@ from pyspark.sql import functions as F
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
 
+@cache
+def _private_root() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="brindle-")
+
+
 def scratch_root(spark: SparkSession) -> str:
-    """Folder shared by driver and executors; a private one only where the session names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="brindle-")
-        spark.conf.set("spark.checkpoint.dir", root)
+    """Folder shared by driver and executors; a private one only where the session names none (a
+    single machine, as in tests)."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or _private_root()
     return f"{root.rstrip('/')}/brindle"
 
 

@@ -116,8 +116,8 @@ SQL = {
               unnest([array_to_string(words[i + 1 : i + least(len(words), 13)], ' ') for i in range(0, greatest(len(words) - 13, 0) + 1)]) as win
               from w where item and len(words) > 0),
         lens as (select distinct n from b),
-        at as (select id, n, unnest(range(0, len(words) - n + 1)) as i, words from w, lens where not item and len(words) >= n),
-        hits as (select id, i, at.n, item_id from at join b on at.n = b.n and array_to_string(words[i + 1 : i + at.n], ' ') = win),
+        spots as (select id, n, unnest(range(0, len(words) - n + 1)) as i, words from w, lens where not item and len(words) >= n),
+        hits as (select id, i, spots.n, item_id from spots join b on spots.n = b.n and array_to_string(words[i + 1 : i + spots.n], ' ') = win),
         cover as (select id, count(distinct k) as n_hit from (select id, unnest(range(i, i + n)) as k from hits) group by id),
         items as (select id, count(*) as n_items, string_agg(item_id, ',' order by item_id) as listed
                   from (select distinct id, item_id from hits) group by id)

@@ -278,6 +278,10 @@ def similarities(a: list[bytes], b: list[bytes]) -> np.ndarray:
     return np.where(size > 0, common / np.maximum(size, 1), 1.0)
 
 
+#: Two independent fingerprints of the set of distinct words.
+COPY_PRINTS = ("fp_a", "fp_b")
+
+
 def _copy_prints(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -287,14 +291,16 @@ def _copy_prints(words: int):
             bounds, hashes = own.bounds, own.words[0]
             size = np.diff(bounds)
             pairs = np.unique(np.repeat(np.arange(n), size) << 32 | own.codes)
-            prints = np.zeros(n, np.uint64)
+            prints = np.zeros((2, n), np.uint64)
             counts = np.bincount(pairs >> 32, minlength=n)
             first = np.zeros(int(own.codes.max()) + 1 if len(own.codes) else 0, np.uint64)
             first[own.codes] = hashes
             cuts = np.append(0, np.cumsum(counts))
             for low in range(0, n, 256):
                 high = min(low + 256, n)
-                prints[low:high] = vote(first[pairs[cuts[low] : cuts[high]] & 0xFFFFFFFF], counts[low:high])
+                once = first[pairs[cuts[low] : cuts[high]] & 0xFFFFFFFF]
+                for k, votes in enumerate((once, scramble(once, MIX[1]))):
+                    prints[k, low:high] = vote(votes, counts[low:high])
             where = np.flatnonzero(own.starts(words))
             values = scramble(rolling(hashes, words, BASE[0]), MIX[0])[where] if len(where) else np.zeros(0, np.uint64)
             doc = np.searchsorted(bounds, where, side="right") - 1
@@ -308,8 +314,8 @@ def _copy_prints(words: int):
             least = (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)
             sketches = [least[a : min(b, a + SKETCH)].tobytes() for a, b in zip(ends, ends[1:])]
             yield pa.record_batch(
-                [batch.column(0), batch.column(1), pa.array(prints.view(np.int64)), pa.array(sketches, pa.binary())],
-                names=["uid", "doc_id", "fp", "sketch"],
+                [batch.column(0), batch.column(1), *map(pa.array, prints.view(np.int64)), pa.array(sketches, pa.binary())],
+                names=["uid", "doc_id", *COPY_PRINTS, "sketch"],
             )
 
     return run
@@ -322,19 +328,27 @@ def drop_near_copies(
     five-word shingle sets the row with the smallest id stays.  All columns stay.
 
     Edits of single words touch five shingles each, so candidates come from fingerprints of the
-    set of distinct words, which move less (radius 6: over nine in ten pairs of similarity 0.8 on
-    the test tables, rising quickly above), and links are confirmed on the shingles."""
+    set of distinct words, which move less: pairs within radius 6 by either of two independent
+    ones.  Links are confirmed on the shingles.  A first search, on fingerprints alone, finds the
+    documents that have any candidate; only they take their sketches into the second."""
     rows = numbered(docs)
     source = rows.select("__uid", F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    prints = written(source.mapInArrow(_copy_prints(words), "uid long, doc_id long, fp long, sketch binary"), "copy-prints")
-    distinct = written(prints.groupBy("fp").agg(F.count(F.lit(1)).alias("n")), "copy-fps")
-    near = shard_edges(distinct.select("fp", F.col("fp").alias("node")), COPY_RADIUS)
-    linked = near.select(F.explode(F.array("a", "b")).alias("fp")).union(distinct.where("n > 1").select("fp")).distinct()
-    suspects = written(prints.join(linked, "fp", "left_semi"), "copy-suspects")
-    nodes = written(suspects.groupBy("fp", "sketch").agg(F.min("uid").alias("node")), "copy-nodes")
-    roots = components(shard_edges(nodes, COPY_RADIUS, similarity - MARGIN))
+    shape = f"uid long, doc_id long, {COPY_PRINTS[0]} long, {COPY_PRINTS[1]} long, sketch binary"
+    prints = written(source.mapInArrow(_copy_prints(words), shape), "copy-prints")
+    suspects = None
+    for fp in COPY_PRINTS:
+        distinct = written(prints.groupBy(F.col(fp).alias("fp")).agg(F.count(F.lit(1)).alias("n")), "copy-fps")
+        near = shard_edges(distinct.select("fp", F.col("fp").alias("node")), COPY_RADIUS)
+        linked = near.select(F.explode(F.array("a", "b")).alias(fp)).union(distinct.where("n > 1").select("fp")).distinct()
+        found = prints.join(linked, fp, "left_semi").select(*prints.columns)
+        suspects = found if suspects is None else suspects.union(found)
+    suspects = written(suspects.dropDuplicates(["uid"]), "copy-suspects")
+    kind = [*COPY_PRINTS, "sketch"]
+    nodes = written(suspects.groupBy(*kind).agg(F.min("uid").alias("node")), "copy-nodes")
+    edges = [shard_edges(nodes.select(F.col(fp).alias("fp"), "node", "sketch"), COPY_RADIUS, similarity - MARGIN) for fp in COPY_PRINTS]
+    roots = components(edges[0].union(edges[1]))
     placed = (
-        suspects.join(nodes, ["fp", "sketch"])
+        suspects.join(nodes, kind)
         .join(roots, "node", "left")
         .select("uid", "doc_id", F.coalesce("root", "node").alias("root"))
     )

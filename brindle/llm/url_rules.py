@@ -25,6 +25,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 RUN = 2048
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -91,7 +93,8 @@ def judge(
     """page_id, host, path, rule, verdict of every row."""
     host, path = url_parts(F.col(url_col))
     urls = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
-    urls = urls.withColumn("uid", F.monotonically_increasing_id())
+    # rows are counted, swept and joined back by uid: written, so that it is the same each time
+    urls = written(urls.withColumn("uid", F.monotonically_increasing_id()), "urls")
     depth = rules.agg(F.max(F.size(F.split("host", r"\.")))).first()[0] or 0
     probes = urls.withColumn("labels", F.split("host", r"\.")).select(
         "uid",
