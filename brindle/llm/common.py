@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: ASCII white space that separates words: space and \x09-\x0D.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
+#: Bytes of text that vectorised steps take at once.
+PORTION = 4 << 20
 
 
 @cache
@@ -61,6 +64,21 @@ def utf8(text_array) -> list[bytes]:
     return [b"" if x is None else x for x in text_array.cast(pa.binary()).to_pylist()]
 
 
+def portions(batch, column: int, size: int = PORTION) -> Iterator:
+    """Slices of an Arrow batch with about `size` bytes of text in a column: bounds what vectorised
+    steps hold at once (one longer text is a slice of its own)."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < batch.num_rows:
+        base = ends[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, base + size)))
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import numbered, shuffle_partitions, utf8, written
 
 FP_BITS = 48
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 32 << 20
 WHITE = b" \t\n\x0b\x0c\r"
 
 
@@ -80,8 +80,8 @@ def golomb_parameter(span: int, n: int) -> int:
     return max(0, int(0.69 * span / max(n, 1)).bit_length() - 1)
 
 
-def _send(owners: int):
-    span = -(-(1 << FP_BITS) // owners)
+def _send(owners: int, bits: int):
+    span = -(-(1 << bits) // owners)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 32
@@ -100,7 +100,7 @@ def _send(owners: int):
 
     def emit(chunk: int, ids: list, norms: list[bytes]) -> Iterator[pa.RecordBatch]:
         digests = [hashlib.sha256(x).digest() for x in norms]
-        prints = np.array([int.from_bytes(x[: FP_BITS // 8], "big") for x in digests], np.uint64)
+        prints = np.array([int.from_bytes(x[:8], "big") >> (64 - bits) for x in digests], np.uint64)
         keys, back, counts = np.unique(prints, return_inverse=True, return_counts=True)
         owner = keys // np.uint64(span)
         cuts = np.flatnonzero(np.diff(owner, prepend=np.uint64(owners + 1)))
@@ -158,57 +158,62 @@ SENT = (
 )
 
 
-def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _answer(owners: int, bits: int):
     """All messages of the owners in this partition: 64-bit words of 'another chunk has it too'."""
-    chunks, owners, values = [], [], []
-    for batch in batches:
-        cols = [batch.column(i).to_pylist() for i in range(5)]
-        for chunk, owner, n, k, payload in zip(*cols):
-            chunks.append(chunk)
-            owners.append(owner)
-            values.append(golomb_decode(payload, n, k))
-    if not values:
-        return
-    sizes = np.array([len(x) for x in values])
-    keys = np.concatenate(values) + np.repeat(np.array(owners, np.uint64) << np.uint64(FP_BITS), sizes)
-    _, back, counts = np.unique(keys, return_inverse=True, return_counts=True)
-    hit = counts[back] > 1
-    out = ([], [], [])
-    start = 0
-    for chunk, owner, n in zip(chunks, owners, sizes):
-        bits = hit[start : start + n]
-        start += n
-        if bits.any():
-            padded = np.zeros(-(-n // 64) * 64, np.uint8)
-            padded[:n] = bits
-            words = np.packbits(padded, bitorder="little").view("<i8")
-            out[0].append(chunk)
-            out[1].append(owner)
-            out[2].append(words.tolist())
-    yield pa.record_batch(
-        [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.list_(pa.int64()))],
-        names=["chunk", "owner", "words"],
-    )
+    span = -(-(1 << bits) // owners)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunks, places, values = [], [], []
+        for batch in batches:
+            cols = [batch.column(i).to_pylist() for i in range(5)]
+            for chunk, owner, n, k, payload in zip(*cols):
+                chunks.append(chunk)
+                places.append(owner)
+                values.append(golomb_decode(payload, n, k))
+        if not values:
+            return
+        sizes = np.array([len(x) for x in values])
+        keys = np.concatenate(values) + np.repeat(np.array(places, np.uint64) * np.uint64(span), sizes)
+        _, back, counts = np.unique(keys, return_inverse=True, return_counts=True)
+        hit = counts[back] > 1
+        out = ([], [], [])
+        start = 0
+        for chunk, owner, n in zip(chunks, places, sizes):
+            bits = hit[start : start + n]
+            start += n
+            if bits.any():
+                padded = np.zeros(-(-n // 64) * 64, np.uint8)
+                padded[:n] = bits
+                words = np.packbits(padded, bitorder="little").view("<i8")
+                out[0].append(chunk)
+                out[1].append(owner)
+                out[2].append(words.tolist())
+        yield pa.record_batch(
+            [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.list_(pa.int64()))],
+            names=["chunk", "owner", "words"],
+        )
+
+    return run
 
 
 def duplicate_classes(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None, fp_bits: int = FP_BITS
 ) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256, and row_id, the long of
     row_col where given."""
     spark = docs.sparkSession
-    owners = 4 * shuffle_partitions(spark)
+    owners = shuffle_partitions(spark)
     row = F.col(row_col).cast("long") if row_col else F.lit(None).cast("long")
     source = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), row.alias("row_id")
     )
     more = ["row_id"] if row_col else []
-    sent = written(source.mapInArrow(_send(owners), SENT), "exact-sent", by="kind")
+    sent = written(source.mapInArrow(_send(owners, fp_bits), SENT), "exact-sent", by="kind")
 
     messages = sent.where("kind = 1").select("chunk", "owner", F.col("slot").alias("n"), "pos", "payload")
     answers = written(
         messages.repartition(shuffle_partitions(spark), "owner").mapInArrow(
-            _answer, "chunk long, owner int, words array<long>"
+            _answer(owners, fp_bits), "chunk long, owner int, words array<long>"
         ),
         "exact-answers",
     )

@@ -26,6 +26,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import portions
+
 WORD_BITS = 15
 BINS = 24
 STATS = 10
@@ -36,7 +38,6 @@ EPOCHS = 20
 BATCH = 64
 THRESHOLD = 0.3
 FOLDS = 5
-CHUNK_WORDS = 1 << 20
 
 
 def fold(id_col: Column) -> Column:
@@ -167,10 +168,11 @@ class Machine:
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        bounds, ids, values = features(batch.column(2))
-        at = pa.array(bounds.astype(np.int32))
-        lists = [pa.ListArray.from_arrays(at, pa.array(x)) for x in (ids.astype(np.int32), values)]
-        yield pa.record_batch([batch.column(0), batch.column(1), *lists], names=["id", "label", "ids", "x"])
+        for part in portions(batch, 2):
+            bounds, ids, values = features(part.column(2))
+            at = pa.array(bounds.astype(np.int32))
+            lists = [pa.ListArray.from_arrays(at, pa.array(x)) for x in (ids.astype(np.int32), values)]
+            yield pa.record_batch([part.column(0), part.column(1), *lists], names=["id", "label", "ids", "x"])
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", bound: int = TRAIN_ROWS):
@@ -206,24 +208,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def _score(machine):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _portions(batch):
+            for part in portions(batch, 1):
                 scores = machine.scores(*features(part.column(1))) if isinstance(machine, Machine) else np.full(part.num_rows, machine)
                 yield pa.record_batch([part.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
     return run
 
 
-def _portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Slices of about 8 MB of text."""
-    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    start = 0
-    while start < batch.num_rows:
-        base = sizes[start - 1] if start else 0
-        end = max(start + 1, int(np.searchsorted(sizes, base + (8 << 20))))
-        yield batch.slice(start, end - start)
-        start = end
-
-
 def score(docs: DataFrame, machine, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted of every row."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -242,11 +233,9 @@ def classify(docs: DataFrame, labels: DataFrame, **kw) -> DataFrame:
 def _good(machine, threshold: float, place: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _portions(pa.record_batch([batch.column(place), batch.column(place)], names=["a", "b"])):
-                n = part.num_rows
-                scores = machine.scores(*features(part.column(1))) if isinstance(machine, Machine) else np.full(n, machine)
-                yield batch.slice(0, n).filter(pa.array(scores >= threshold))
-                batch = batch.slice(n)
+            for part in portions(batch, place):
+                scores = machine.scores(*features(part.column(place))) if isinstance(machine, Machine) else np.full(part.num_rows, machine)
+                yield part.filter(pa.array(scores >= threshold))
 
     return run
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered, shuffle_partitions, utf8, written
+from .common import numbered, portions, shuffle_partitions, utf8, written
 from .components import components
 from .substring_dedup import BASE, MIX, Words, rolling, scramble
 
@@ -284,7 +284,7 @@ COPY_PRINTS = ("fp_a", "fp_b")
 
 def _copy_prints(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in portions(whole, 2)):
             texts = pc.ascii_lower(pc.fill_null(batch.column(2), ""))
             n = len(texts)
             own = Words(texts)

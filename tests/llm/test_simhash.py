@@ -52,10 +52,6 @@ def test_spark_hash_is_the_same(spark):
     assert spark.sql(f"select xxhash64('{text}')").first()[0] & (1 << 64) - 1 == xxhash.xxh64_intdigest(text, 42)
 
 
-def groups_of(pairs, n):
-    return tuple(sorted({frozenset(x for x in range(n) if r == root) for root in set(pairs) for r in [root]}))
-
-
 @pytest.mark.parametrize(("spread", "n"), [(3, 300), (8, 400), (64, 200)])
 def test_forest_finds_every_link(spread, n):
     rng = np.random.default_rng(spread)
