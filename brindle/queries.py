@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
-from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -592,7 +591,7 @@ def changed_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select event_id from events where event_type = 'view' or ts > timestamp '2024-01-15 12:00:00'")
 def expire_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").withColumn("expires", F.when(F.col("event_type") != "view", F.col("ts")))
-    return versions.unexpired(rows, "expires", datetime(2024, 1, 15, 12)).select("event_id")
+    return versions.unexpired(rows, "expires", F.lit("2024-01-15 12:00:00").cast("timestamp_ntz")).select("event_id")
 
 
 @query(f"select c_custkey, cast(floor((lat + 85.05112878) / (2 * 85.05112878) * 32) as bigint) as row, cast(floor((lon + 180) / 360 * 32) as bigint) as col from {SPACE}")

@@ -59,8 +59,7 @@ class Collection:
     def add(self, docs: DataFrame) -> int:
         """Upsert documents, a frame with one JSON string a row (column value) in order of arrival;
         of equal ids the last stays, and a known id keeps its place.  Returns the new version."""
-        numbered = docs.select("value").withColumn("_at", F.monotonically_increasing_id())
-        rows = read_json(numbered, self.ns).withColumn("_at", F.monotonically_increasing_id())
+        rows = read_json(docs, self.ns).withColumn("_at", F.monotonically_increasing_id())
         bad = rows.where("id is null or id = ''").limit(1).count()
         if bad:
             raise SchemaError("a document needs an id")
