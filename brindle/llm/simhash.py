@@ -6,7 +6,8 @@ bits agree on all the bits of some choice of `blocks - radius` blocks, so every
 names a shard, and each linked pair meets in some shard.  In each shard a BK-tree is built
 (children keyed by integer Hamming distance to their parent) and searched along the edges within
 the radius.  Trees travel with their shard, not to every executor: their total size grows with
-the data, so they are dealt out and not broadcast.  A shard returns at most one edge per member
+the data, so they are dealt out and not broadcast; a shard that many similar texts share is cut
+into parts, searched pair by pair.  A shard returns at most one edge per member
 (its local root), never its pairs; the star algorithm joins the shards' edges.
 
 Defined cases: a null or wordless text has fingerprint zero and links like any other; a text of
@@ -35,6 +36,7 @@ SEED = 42
 FRONTIER = 1 << 20
 VOTES = 1 << 17
 ASKED = 1 << 12
+SHARD_ROWS = 1 << 13
 #: Near copies: similarity of five-word shingle sets, estimated from SKETCH least hashes; the
 #: margin keeps pairs of similarity 0.8 in spite of the estimate's error (about 0.035).
 SIMILARITY, MARGIN, SKETCH, COPY_RADIUS = 0.8, 0.07, 128, 6
@@ -194,25 +196,26 @@ def local_roots(n: int, links, alike=None) -> np.ndarray:
 
 
 def _shard_links(radius: int, similarity: float | None = None):
-    """All shards of one partition: rows mask, value, fp, node and, to confirm links by similarity,
-    sketch."""
+    """All shards of one partition: rows mask, value, pair, fp, node and, to confirm links by
+    similarity, sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [x for x in batches if x.num_rows]
         if not got:
             return
-        mask, value, fps, nodes = (np.concatenate([x.column(i).to_numpy() for x in got]) for i in range(4))
+        mask, value, pair, fps, nodes = (np.concatenate([x.column(i).to_numpy() for x in got]) for i in range(5))
         alike = None
-        order = np.lexsort((nodes, fps, value, mask))
+        order = np.lexsort((nodes, fps, pair, value, mask))
         if similarity is not None:
-            sketches = [x for y in got for x in y.column(4).to_pylist()]
+            sketches = [x for y in got for x in y.column(5).to_pylist()]
 
             def alike(a, b):
                 return similarities([sketches[order[i]] for i in a], [sketches[order[i]] for i in b]) >= similarity
 
-        mask, value, nodes, fps = mask[order], value[order], nodes[order], fps[order].view(np.uint64)
+        mask, value, pair, nodes = mask[order], value[order], pair[order], nodes[order]
+        fps = fps[order].view(np.uint64)
         new = np.ones(len(fps), bool)
-        new[1:] = (np.diff(mask) != 0) | (value[1:] != value[:-1])
+        new[1:] = (np.diff(mask) != 0) | (value[1:] != value[:-1]) | (np.diff(pair) != 0)
         group = np.cumsum(new) - 1
         parent, edge = build_forest(fps, group)
         roots = local_roots(len(fps), search_forest(fps, group, parent, edge, radius), alike)
@@ -222,23 +225,43 @@ def _shard_links(radius: int, similarity: float | None = None):
     return run
 
 
-def shard_edges(nodes: DataFrame, radius: int, similarity: float | None = None) -> DataFrame:
-    """nodes(fp, node, ...) -> a, b: a forest of the links in each shard."""
+def shard_edges(nodes: DataFrame, radius: int, similarity: float | None = None, limit: int = SHARD_ROWS) -> DataFrame:
+    """nodes(fp, node, ...) -> a, b: a forest of the links in each shard.
+
+    A shard of more than `limit` nodes is cut into parts, and each pair of parts is a shard of its
+    own, so a task never holds more than two parts of one."""
     spark = nodes.sparkSession
     masks = block_masks(radius, nodes.count())
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     dealt = F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])).alias("mask", "value")
     more = [] if similarity is None else ["sketch"]
-    shards = nodes.select("fp", "node", *more, dealt).select("mask", "value", "fp", "node", *more)
-    return shards.repartition(shuffle_partitions(spark), "mask", "value").mapInArrow(
-        _shard_links(radius, similarity), "a long, b long"
+    shards = nodes.select("fp", "node", *more, dealt)
+    large = shards.groupBy("mask", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit)
+    large = written(large.select("mask", "value", F.ceil(F.col("n") / limit).cast("int").alias("parts")), "large-shards")
+    if not large.isEmpty():
+        part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+        pair = F.transform(
+            F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.least("part", x) * F.col("parts") + F.greatest("part", x)
+        )
+        shards = (
+            shards.join(large, ["mask", "value"], "left")
+            .withColumn("parts", F.coalesce("parts", F.lit(1)))
+            .withColumn("part", part)
+            .withColumn("pair", F.explode(pair))
+        )
+    else:
+        shards = shards.withColumn("pair", F.lit(0))
+    return (
+        shards.select("mask", "value", "pair", "fp", "node", *more)
+        .repartition(shuffle_partitions(spark), "mask", "value", "pair")
+        .mapInArrow(_shard_links(radius, similarity), "a long, b long")
     )
 
 
-def fingerprint_components(prints: DataFrame, radius: int = 4) -> DataFrame:
+def fingerprint_components(prints: DataFrame, radius: int = 4, limit: int = SHARD_ROWS) -> DataFrame:
     """prints(doc_id, fp) -> fp, component_id for each distinct fingerprint."""
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "prints")
-    roots = components(shard_edges(distinct.select("fp", F.col("fp").alias("node")), radius))
+    roots = components(shard_edges(distinct.select("fp", F.col("fp").alias("node")), radius, limit=limit))
     of = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
         "fp", "low", F.coalesce("root", "fp").alias("root")
     )

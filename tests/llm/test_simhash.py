@@ -47,6 +47,26 @@ def test_against_brute_force(both):
     assert got == brute([tuple(r) for r in both.collect()])
 
 
+@pytest.mark.parametrize("limit", [2, 5, 40])
+def test_large_shards_lose_no_link(spark, limit):
+    rng = np.random.default_rng(limit)
+    fps = [int(x) for x in rng.integers(0, 1 << 62, 3)]
+    prints = []
+    for i in range(150):
+        fp = fps[i % 3]
+        for b in rng.integers(0, 62, rng.integers(0, 7)):
+            fp ^= 1 << int(b)
+        prints.append((i, fp))
+    df = spark.createDataFrame(prints, "doc_id long, fp long")
+    got = {r["fp"]: r["component_id"] for r in S.fingerprint_components(df, 4, limit).collect()}
+    distinct = sorted({p for _, p in prints})
+    of = classes(distinct, [(a, b) for a, b in combinations(distinct, 2) if (a ^ b).bit_count() <= 4])
+    least = {}
+    for i, p in prints:
+        least.setdefault(of[p], i)
+    assert got == {p: least[of[p]] for p in distinct}
+
+
 def test_spark_hash_is_the_same(spark):
     text = "one two three four"
     assert spark.sql(f"select xxhash64('{text}')").first()[0] & (1 << 64) - 1 == xxhash.xxh64_intdigest(text, 42)
