@@ -188,15 +188,17 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     joined = rows.join(F.broadcast(sample), "__id").select("__id", "label", "text")  # the sample has `bound` rows at most
     got = joined.mapInArrow(_extract, "id long, label int, ids array<int>, x array<float>")
     data = got.limit(2 * bound).toArrow().combine_chunks()
-    label = data["label"].to_numpy().astype(np.float64)
+    label, key = data["label"].to_numpy().astype(np.float64), data["id"].to_numpy().copy()
     if len(label) == 0 or label.min() == label.max():
         return float(label.mean()) if len(label) else 0.5
     lists = data["ids"].combine_chunks()
     bounds = lists.offsets.to_numpy().astype(np.int64)
-    ids = lists.values.to_numpy().astype(np.int64)
-    values = data["x"].combine_chunks().values.to_numpy()
+    ids = lists.values.to_numpy().copy()
+    values = data["x"].combine_chunks().values.to_numpy().copy()
+    del data, lists
+    pa.default_memory_pool().release_unused()
     # rows in one order whatever the partitions
-    order = np.lexsort((np.diff(bounds), data["id"].to_numpy()))
+    order = np.lexsort((np.diff(bounds), key))
     sizes = np.diff(bounds)[order]
     ends = np.cumsum(sizes)
     take = np.arange(ends[-1]) - np.repeat(ends - sizes, sizes) + np.repeat(bounds[order], sizes)

@@ -237,8 +237,8 @@ def shard_edges(nodes: DataFrame, radius: int, similarity: float | None = None,
     more = [] if similarity is None else ["sketch"]
     shards = nodes.select("fp", "node", *more, dealt)
     large = shards.groupBy("mask", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit)
-    large = written(large.select("mask", "value", F.ceil(F.col("n") / limit).cast("int").alias("parts")), "large-shards")
-    if not large.isEmpty():
+    if large.count():
+        large = written(large.select("mask", "value", F.ceil(F.col("n") / limit).cast("int").alias("parts")), "large-shards")
         part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
         pair = F.transform(
             F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.least("part", x) * F.col("parts") + F.greatest("part", x)
