@@ -19,6 +19,7 @@ result; extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
@@ -37,9 +38,12 @@ FRONTIER = 1 << 20
 VOTES = 1 << 17
 ASKED = 1 << 12
 SHARD_ROWS = 1 << 13
-#: Near copies: similarity of five-word shingle sets, estimated from SKETCH least hashes; the
-#: margin keeps pairs of similarity 0.8 in spite of the estimate's error (about 0.035).
-SIMILARITY, MARGIN, SKETCH, COPY_RADIUS = 0.8, 0.07, 128, 6
+#: Near copies: similarity of five-word shingle sets.
+SIMILARITY, SKETCH = 0.8, 128
+#: Texts sampled at least, and shingles kept at most, to put common shingles last.
+COMMON_SAMPLE, COMMON_MOST = 1 << 13, 1 << 18
+BIT_WORDS = 8
+BITS = [f"b{i}" for i in range(BIT_WORDS)]
 
 
 def shingles(raw: bytes, words: int) -> list[bytes]:
@@ -301,80 +305,207 @@ def similarities(a: list[bytes], b: list[bytes]) -> np.ndarray:
     return np.where(size > 0, common / np.maximum(size, 1), 1.0)
 
 
-#: Two independent fingerprints of the set of distinct words.
-COPY_PRINTS = ("fp_a", "fp_b")
+def _sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct 64-bit hashes of the `words`-word shingles of each text, sorted, one text after
+    another, and the size of each set; the whole sequence of a shorter text is one shingle."""
+    texts = pc.ascii_lower(pc.fill_null(texts, ""))
+    n = len(texts)
+    own = Words(texts)
+    bounds, hashes = own.bounds, own.words[0]
+    size = np.diff(bounds)
+    where = np.flatnonzero(own.starts(words))
+    values = scramble(rolling(hashes, words, BASE[0]), MIX[0])[where] if len(where) else np.zeros(0, np.uint64)
+    doc = np.searchsorted(bounds, where, side="right") - 1
+    short = np.flatnonzero((size > 0) & (size < words))
+    rest = [scramble(rolling(hashes[bounds[i] : bounds[i + 1]], int(size[i]), BASE[0]), MIX[0])[0] for i in short]
+    doc, values = np.concatenate([doc, short]).astype(np.int64), np.concatenate([values, np.array(rest, np.uint64)])
+    order = np.lexsort((values, doc))
+    doc, values = doc[order], values[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (values[1:] != values[:-1])
+    return values[new], np.bincount(doc[new], minlength=n)
+
+
+def _all_shingles(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in portions(whole, 0)):
+            yield pa.record_batch([pa.array(_sets(batch.column(0), words)[0].view(np.int64))], names=["token"])
+
+    return run
 
 
-def _copy_prints(words: int):
+def _common(source: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, of shingles that many texts share, and their counts in a sample of texts.
+    They only fix the order in which prefixes are taken: any order finds every pair."""
+    count = source.count()
+    share = max(1, min(count // COMMON_SAMPLE, 24))
+    sample = source.where(F.pmod(F.xxhash64("__uid"), F.lit(share)) == 0).select("text")
+    found = (
+        sample.mapInArrow(_all_shingles(words), "token long")
+        .groupBy("token")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .where("n > 2")
+        .orderBy(F.desc("n"), "token")
+        .limit(COMMON_MOST)
+        .toArrow()
+    )
+    tokens, n = found["token"].to_numpy().view(np.uint64), found["n"].to_numpy()
+    order = np.argsort(tokens)
+    return tokens[order], n[order]
+
+
+def _prefixes(words: int, ratio: Fraction, common: tuple[np.ndarray, np.ndarray]):
+    known, often = common
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in portions(whole, 2)):
-            texts = pc.ascii_lower(pc.fill_null(batch.column(2), ""))
-            n = len(texts)
-            own = Words(texts)
-            bounds, hashes = own.bounds, own.words[0]
-            size = np.diff(bounds)
-            pairs = np.unique(np.repeat(np.arange(n), size) << 32 | own.codes)
-            prints = np.zeros((2, n), np.uint64)
-            counts = np.bincount(pairs >> 32, minlength=n)
-            first = np.zeros(int(own.codes.max()) + 1 if len(own.codes) else 0, np.uint64)
-            first[own.codes] = hashes
-            cuts = np.append(0, np.cumsum(counts))
-            for low in range(0, n, 256):
-                high = min(low + 256, n)
-                once = first[pairs[cuts[low] : cuts[high]] & 0xFFFFFFFF]
-                for k, votes in enumerate((once, scramble(once, MIX[1]))):
-                    prints[k, low:high] = vote(votes, counts[low:high])
-            where = np.flatnonzero(own.starts(words))
-            values = scramble(rolling(hashes, words, BASE[0]), MIX[0])[where] if len(where) else np.zeros(0, np.uint64)
-            doc = np.searchsorted(bounds, where, side="right") - 1
-            short = np.flatnonzero((size > 0) & (size < words))
-            rest = [scramble(rolling(hashes[bounds[i] : bounds[i + 1]], int(size[i]), BASE[0]), MIX[0])[0] for i in short]
-            doc = np.concatenate([doc, short]).astype(np.int64)
-            values = np.concatenate([values, np.array(rest, np.uint64)]) >> np.uint64(32)
-            keys = np.unique(doc.astype(np.uint64) << np.uint64(32) | values)
-            of = (keys >> np.uint64(32)).astype(np.int64)
-            ends = np.append(0, np.cumsum(np.bincount(of, minlength=n)))
-            least = (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-            sketches = [least[a : min(b, a + SKETCH)].tobytes() for a, b in zip(ends, ends[1:])]
+            values, sizes = _sets(batch.column(2), words)
+            n = len(sizes)
+            doc = np.repeat(np.arange(n), sizes)
+            spread = np.bincount(doc << 9 | (values >> np.uint64(55)).astype(np.int64), minlength=n << 9) & 1
+            bits = np.packbits(spread.astype(np.uint8)).view(np.int64).reshape(n, BIT_WORDS)
+            rank = np.zeros(len(values), np.int64)
+            if len(known) and len(values):
+                at = np.minimum(np.searchsorted(known, values), len(known) - 1)
+                rank = np.where(known[at] == values, often[at], 0)
+            order = np.lexsort((values, rank, doc))
+            starts = np.cumsum(sizes) - sizes
+            # a partner shares at least ceil(ratio * size): one of the others, and one more, is common
+            long = sizes + (-ratio.numerator * sizes // ratio.denominator) + 1
+            taken = order[np.arange(len(values)) - starts[doc] < long[doc]].astype(np.int64)
+            long = np.where(sizes > 0, long, 0)
+            tokens = pa.ListArray.from_arrays(
+                pa.array(np.append(0, np.cumsum(long)).astype(np.int32)), pa.array(values[taken].view(np.int64))
+            )
             yield pa.record_batch(
-                [batch.column(0), batch.column(1), *map(pa.array, prints.view(np.int64)), pa.array(sketches, pa.binary())],
-                names=["uid", "doc_id", *COPY_PRINTS, "sketch"],
+                [batch.column(0), batch.column(1), pa.array(sizes.astype(np.int64)), *map(pa.array, bits.T.copy()), tokens],
+                names=["uid", "doc_id", "size", *BITS, "tokens"],
             )
 
     return run
 
 
+def _shared(ratio: Fraction):
+    """Rows of tokens that several texts have; first and before: two of its texts to try first."""
+    n, d = ratio.numerator, ratio.denominator
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [x for x in batches if x.num_rows]
+        if not got:
+            return
+        token, uid, size, at = (np.concatenate([x.column(i).to_numpy() for x in got]) for i in range(4))
+        order = np.lexsort((uid, token))
+        token, uid, size, at = token[order], uid[order], size[order], at[order]
+        same = token[1:] == token[:-1]
+        shared = np.append(same, False) | np.append(False, same)
+        token, uid, size, at = token[shared], uid[shared], size[shared], at[shared]
+
+        def tried(to):
+            fits = (to != np.arange(len(to))) & ((n + d) * np.minimum(size - at, size[to] - at[to]) >= n * (size + size[to]))
+            return pa.array(uid[to], mask=~fits)
+
+        first = np.searchsorted(token, token)
+        before = np.empty(len(token), np.int64)
+        near = np.lexsort((uid, size, token))
+        before[near[1:]] = np.where(token[near[1:]] == token[near[:-1]], near[:-1], near[1:])
+        before[near[:1]] = near[:1]
+        yield pa.record_batch(
+            [*map(pa.array, (token, uid, size, at)), tried(first), tried(before)],
+            names=["token", "uid", "size", "at", "first", "before"],
+        )
+
+    return run
+
+
+def _whole_sets(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in portions(whole, 1)):
+            values, sizes = _sets(batch.column(1), words)
+            ends = np.append(0, np.cumsum(sizes))
+            sets = [values[a:b].tobytes() for a, b in zip(ends, ends[1:])]
+            yield pa.record_batch([batch.column(0), pa.array(sets, pa.binary())], names=["uid", "shingles"])
+
+    return run
+
+
+def _alike(ratio: Fraction):
+    n, d = ratio.numerator, ratio.denominator
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            same = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
+                both = np.sort(np.concatenate([x, y]), kind="stable")
+                same.append((n + d) * int((both[1:] == both[:-1]).sum()) >= n * len(both))
+            keep = pa.array(same, pa.bool_())
+            yield pa.record_batch([batch.column(i).filter(keep) for i in (0, 1)], names=["a", "b"])
+
+    return run
+
+
+def confirmed(pairs: DataFrame, source: DataFrame, words: int, ratio: Fraction) -> DataFrame:
+    """The pairs (a, b) of row numbers whose whole shingle sets are similar enough."""
+    pairs = written(pairs, "copy-pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("__uid")).distinct()
+    texts = source.join(wanted, "__uid", "left_semi").select("__uid", "text")
+    sets = written(texts.mapInArrow(_whole_sets(words), "uid long, shingles binary"), "copy-sets")
+    one, two = (sets.select(F.col("uid").alias(x), F.col("shingles").alias(f"of_{x}")) for x in "ab")
+    joined = pairs.join(one, "a").join(two, "b").select("a", "b", "of_a", "of_b")
+    return written(joined.mapInArrow(_alike(ratio), "a long, b long"), "copy-links")
+
+
 def drop_near_copies(
     docs: DataFrame, words: int = 5, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """The rows of docs without near copies: of each group linked by the similarity of their
-    five-word shingle sets the row with the smallest id stays.  All columns stay.
-
-    Edits of single words touch five shingles each, so candidates come from fingerprints of the
-    set of distinct words, which move less: pairs within radius 6 by either of two independent
-    ones.  Links are confirmed on the shingles.  A first search, on fingerprints alone, finds the
-    documents that have any candidate; only they take their sketches into the second."""
+    """The rows of docs without near copies: of each group linked by a Jaccard similarity of at
+    least `similarity` between their five-word shingle sets the row with the smallest id stays.
+    All columns stay.
+
+    No pair is missed.  Shingles are put in one order, those that many texts share last.  Two sets
+    of similarity t have a common shingle among the first (1 - t) * size + 1 of each, and at the
+    first such one enough is left of both to reach t.  Sets whose parities in 512 buckets differ in
+    too many places can't be similar.  What passes is decided on the whole sets.  A first round
+    tries two partners of each text; the second compares all those texts that share a shingle and
+    aren't connected yet, so a large group of copies doesn't cost the square of its size."""
+    ratio = Fraction(str(similarity))
+    n, d = ratio.numerator, ratio.denominator
     rows = numbered(docs)
     source = rows.select("__uid", F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    shape = f"uid long, doc_id long, {COPY_PRINTS[0]} long, {COPY_PRINTS[1]} long, sketch binary"
-    prints = written(source.mapInArrow(_copy_prints(words), shape), "copy-prints")
-    suspects = None
-    for fp in COPY_PRINTS:
-        distinct = written(prints.groupBy(F.col(fp).alias("fp")).agg(F.count(F.lit(1)).alias("n")), "copy-fps")
-        near = shard_edges(distinct.select("fp", F.col("fp").alias("node")), COPY_RADIUS)
-        linked = near.select(F.explode(F.array("a", "b")).alias(fp)).union(distinct.where("n > 1").select("fp")).distinct()
-        found = prints.join(linked, fp, "left_semi").select(*prints.columns)
-        suspects = found if suspects is None else suspects.union(found)
-    suspects = written(suspects.dropDuplicates(["uid"]), "copy-suspects")
-    kind = [*COPY_PRINTS, "sketch"]
-    nodes = written(suspects.groupBy(*kind).agg(F.min("uid").alias("node")), "copy-nodes")
-    edges = [shard_edges(nodes.select(F.col(fp).alias("fp"), "node", "sketch"), COPY_RADIUS, similarity - MARGIN) for fp in COPY_PRINTS]
-    roots = components(edges[0].union(edges[1]))
-    placed = (
-        suspects.join(nodes, kind)
-        .join(roots, "node", "left")
-        .select("uid", "doc_id", F.coalesce("root", "node").alias("root"))
+    shape = f"uid long, doc_id long, size long, {', '.join(f'{b} long' for b in BITS)}, tokens array<long>"
+    prints = written(source.mapInArrow(_prefixes(words, ratio, _common(source, words)), shape), "copy-prints")
+    # wordless texts have one token of their own
+    each = F.when(F.col("size") == 0, F.array(F.lit(0).cast("long"))).otherwise(F.col("tokens"))
+    dealt = prints.select("uid", "size", F.posexplode(each).alias("at", "token"))
+    shared = written(
+        dealt.select("token", "uid", "size", F.col("at").cast("long").alias("at"))
+        .repartition(shuffle_partitions(docs.sparkSession), "token")
+        .mapInArrow(_shared(ratio), "token long, uid long, size long, at long, first long, before long"),
+        "copy-shared",
+    )
+    tries = None
+    for other in ("first", "before"):
+        counted = shared.where(F.col(other).isNotNull()).groupBy("uid", other).agg(F.count(F.lit(1)).alias("n"))
+        best = counted.groupBy("uid").agg(F.max_by(other, F.struct("n", other)).alias("to"))
+        tries = best if tries is None else tries.union(best)
+    tries = tries.select(F.least("uid", "to").alias("a"), F.greatest("uid", "to").alias("b")).distinct()
+    links = confirmed(tries, source, words, ratio)
+    roots = components(links)
+    facts = prints.select("uid", *BITS).join(roots.withColumnRenamed("node", "uid"), "uid", "left")
+    facts = facts.withColumn("root", F.coalesce("root", "uid"))
+    shared = written(shared.drop("first", "before").join(facts, "uid"), "copy-rows")
+    x, y = shared.alias("x"), shared.alias("y")
+    apart = " + ".join(f"bit_count(x.{b} ^ y.{b})" for b in BITS)
+    test = (
+        f"x.token = y.token and x.uid < y.uid and x.root <> y.root and {d} * least(x.size, y.size) >= {n} * greatest(x.size, y.size) "
+        f"and {n + d} * least(x.size - x.at, y.size - y.at) >= {n} * (x.size + y.size) "
+        f"and {n + d} * ({apart}) <= {d - n} * (x.size + y.size)"
     )
+    rest = x.join(y, F.expr(test)).select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b")).distinct()
+    roots = components(links.union(confirmed(rest, source, words, ratio)))
+    joined = roots.withColumnRenamed("node", "uid")
+    linked = joined.union(joined.select(F.col("root").alias("uid"), "root").distinct())
+    placed = prints.select("uid", "doc_id").join(linked, "uid")
     me = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")
     first = placed.groupBy("root").agg(F.min(me)["uid"].alias("first"))
     dropped = written(placed.join(first, "root").where("uid <> first").select(F.col("uid").alias("__uid")), "copy-drops")

@@ -156,3 +156,40 @@ def test_similarities_are_exact_for_small_sets():
     pairs = [({1, 2, 3}, {2, 3, 4}), (set(), set()), ({1}, set()), ({5, 9}, {5, 9})]
     got = S.similarities([pack(a) for a, _ in pairs], [pack(b) for _, b in pairs])
     assert got.tolist() == [0.5, 1.0, 0.0, 1.0]
+
+
+def shingle_set(text, k=5):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+
+
+def kept_by_brute_force(rows, n=4, d=5):
+    """Ids that stay: the least of each component of pairs of Jaccard similarity n/d or more."""
+    sets = {i: shingle_set(t) for i, t in rows}
+    alike = [(a, b) for a, b in combinations(sorted(sets), 2) if d * len(sets[a] & sets[b]) >= n * len(sets[a] | sets[b])]
+    of = classes(sorted(sets), alike)
+    least = {}
+    for i in sorted(sets):
+        least.setdefault(of[i], i)
+    return sorted(least.values())
+
+
+def invented(rng, n):
+    return [f"w{x}" for x in rng.integers(0, 5000, n)]
+
+
+def test_pairs_below_the_similarity_stay(spark):
+    """Similarity 0.70 to 0.79 is no near copy, whatever the length; 0.8 itself is one."""
+    rng = np.random.default_rng(5)
+    rows, shares = [], []
+    for i in range(24):
+        words = invented(rng, 300 + 20 * i)
+        extra = invented(rng, int(len(words) * (1 / (0.70 + 0.0037 * i) - 1)))
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words + extra))]
+        a, b = shingle_set(rows[-2][1]), shingle_set(rows[-1][1])
+        shares.append(len(a & b) / len(a | b))
+    assert min(shares) >= 0.69 and max(shares) < 0.8
+    words = invented(rng, 404)
+    rows += [(100, " ".join(words)), (101, " ".join(words + invented(rng, 100)))]  # 400 shingles of 500
+    left = sorted(r["doc_id"] for r in S.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert left == [*range(48), 100] == kept_by_brute_force(rows)
