@@ -489,17 +489,22 @@ def drop_near_copies(
         best = counted.groupBy("uid").agg(F.max_by(other, F.struct("n", other)).alias("to"))
         tries = best if tries is None else tries.union(best)
     tries = tries.select(F.least("uid", "to").alias("a"), F.greatest("uid", "to").alias("b")).distinct()
+    apart = " + ".join(f"bit_count(x.{b} ^ y.{b})" for b in BITS)
+    near = (
+        f"{d} * least(x.size, y.size) >= {n} * greatest(x.size, y.size) "
+        f"and {n + d} * ({apart}) <= {d - n} * (x.size + y.size)"
+    )
+    x, y = (prints.select("uid", "size", *BITS).alias(z) for z in "xy")
+    tries = tries.join(x, F.expr("a = x.uid")).join(y, F.expr("b = y.uid")).where(near).select("a", "b")
     links = confirmed(tries, source, words, ratio)
     roots = components(links)
     facts = prints.select("uid", *BITS).join(roots.withColumnRenamed("node", "uid"), "uid", "left")
     facts = facts.withColumn("root", F.coalesce("root", "uid"))
     shared = written(shared.drop("first", "before").join(facts, "uid"), "copy-rows")
     x, y = shared.alias("x"), shared.alias("y")
-    apart = " + ".join(f"bit_count(x.{b} ^ y.{b})" for b in BITS)
     test = (
-        f"x.token = y.token and x.uid < y.uid and x.root <> y.root and {d} * least(x.size, y.size) >= {n} * greatest(x.size, y.size) "
-        f"and {n + d} * least(x.size - x.at, y.size - y.at) >= {n} * (x.size + y.size) "
-        f"and {n + d} * ({apart}) <= {d - n} * (x.size + y.size)"
+        f"x.token = y.token and x.uid < y.uid and x.root <> y.root "
+        f"and {n + d} * least(x.size - x.at, y.size - y.at) >= {n} * (x.size + y.size) and {near}"
     )
     rest = x.join(y, F.expr(test)).select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b")).distinct()
     roots = components(links.union(confirmed(rest, source, words, ratio)))

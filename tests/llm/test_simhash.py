@@ -193,3 +193,33 @@ def test_pairs_below_the_similarity_stay(spark):
     rows += [(100, " ".join(words)), (101, " ".join(words + invented(rng, 100)))]  # 400 shingles of 500
     left = sorted(r["doc_id"] for r in S.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert left == [*range(48), 100] == kept_by_brute_force(rows)
+
+
+@pytest.mark.parametrize("share", [0.1, 0.15, 0.19])
+def test_extended_and_truncated_copies_go(spark, share):
+    """Block edits: a foreign passage before or behind, or a part cut away."""
+    rng = np.random.default_rng(int(100 * share))
+    rows = []
+    for i in range(25):
+        words = invented(rng, int(rng.integers(100, 1500)))
+        n = int(len(words) * share)
+        more = invented(rng, n)
+        versions = [words, words + more, more + words, words[n:], words[: len(words) - n]]
+        rows += [(10 * i + k, " ".join(x)) for k, x in enumerate(versions)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    left = sorted(r["doc_id"] for r in S.drop_near_copies(df).collect())
+    assert left == kept_by_brute_force(rows) and len(left) < 40
+
+
+def test_copies_among_common_passages(spark):
+    """A passage that all texts share, and a large group of copies, hide no pair."""
+    rng = np.random.default_rng(9)
+    passage, base = invented(rng, 60), invented(rng, 200)
+    rows = []
+    for i in range(120):
+        words = list(base) if i % 3 == 0 else invented(rng, 150)
+        words[i % 100 : i % 100 + 4] = invented(rng, int(rng.integers(1, 12)))
+        rows.append((i, " ".join(passage + words)))
+    rows += [(200 + i, " ".join(t.split()[: 190 + i])) for i, t in rows[::7]]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert sorted(r["doc_id"] for r in S.drop_near_copies(df).collect()) == kept_by_brute_force(rows)
