@@ -8,6 +8,7 @@ from brindle.llm import queries
 from brindle.llm.common import written
 
 from ..oracle import connect, spark_rows, sql_rows
+from .test_simhash import kept_by_brute_force
 
 
 @pytest.mark.parametrize("name", sorted(queries.SQL))
@@ -41,3 +42,24 @@ def test_stages_take_odd_rows(spark, sf, odd):
         out = written(stage(spark, docs, sf), name)
         assert name == "byte_bpe" or out.columns == docs.columns
         assert stage(spark, docs.limit(0), sf).collect() == []
+
+
+def test_near_copies_of_a_run_against_brute_force(spark, sf, tmp_path, monkeypatch):
+    """The rows of run() are those of exact Jaccard components at 0.8, with longer and shorter copies
+    and pairs just below among the documents."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    base = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect() if r["text"]]
+    rows = {t: i for i, t in sorted(base, reverse=True)}
+    long = [t for t in rows if 120 < len(t.split()) < 600][:30]
+    for k, t in enumerate(long):
+        words = t.split()
+        for m, cut in enumerate((0.1, 0.18, 0.24, 0.29)):
+            n = int(len(words) * cut)
+            rows.setdefault(" ".join(words[n:]), 10_000_000 + 10 * k + m)
+            rows.setdefault(" ".join(words + [f"x{k}y{j}" for j in range(n)]), 10_000_005 + 10 * k + m)
+    given = [(i, t) for t, i in rows.items()]
+    spark.createDataFrame(given, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    stages = [(n, f) for n, f in corpus_pipeline.STAGES if n in ("exact_dedup", "near_dedup", "byte_bpe")]
+    monkeypatch.setattr(corpus_pipeline, "STAGES", stages)
+    got = sorted(r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    assert got == kept_by_brute_force(given)
