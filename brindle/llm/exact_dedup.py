@@ -8,12 +8,15 @@
 3. Rows whose bit is set, or whose fingerprint repeats inside their own chunk, are suspects.
    Only suspects travel with their text; grouping by the text itself is the byte verification.
 
-A hot text is sent once per chunk, and the verification aggregates before its shuffle, so a
-group that holds a third of all rows costs each task one message entry and one partial row.
+A hot text is sent once per chunk, the verification aggregates before its shuffle, and rows meet
+their class by a join that deals out hot classes, so a group that holds a third of all rows costs
+each task one message entry and one partial row, and gathers nowhere.  There are as many owners
+as the rows call for, each a task of its own.
 
 Defined cases: a null text counts as empty; a text of white space alone is one space; a null
-doc_id sorts after all others; of rows equal in text and doc_id exactly one is kept; an empty
-table gives an empty result; extra columns are ignored.
+doc_id sorts after all others; of rows equal in text and doc_id exactly one is kept; texts are
+compared as bytes, so invalid UTF-8 is as good as any; an empty table gives an empty result; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,10 +30,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered, shuffle_partitions, utf8, written
+from .common import numbered, owners_for, spread_join, temporary, to_owners, utf8, without_rows, written
 
 FP_BITS = 48
 CHUNK_BYTES = 32 << 20
+#: Rows for each owner of a range of fingerprints, 32 MB of them.
+OWNER_PRINTS = 1 << 22
 WHITE = b" \t\n\x0b\x0c\r"
 
 
@@ -119,7 +124,7 @@ def _send(owners: int, bits: int):
                 pa.array([x for x, _ in ids], pa.int64()),
                 pa.array([x for _, x in ids], pa.int64()),
                 pa.array([x.hex() for x in digests]),
-                pa.array(norms, pa.binary()).cast(pa.string()),
+                pa.array(norms, pa.binary()),
                 pa.nulls(n, pa.binary()),
             ],
             names=NAMES,
@@ -137,7 +142,7 @@ def _send(owners: int, bits: int):
                 pa.nulls(m, pa.int64()),
                 pa.nulls(m, pa.int64()),
                 pa.nulls(m, pa.string()),
-                pa.nulls(m, pa.string()),
+                pa.nulls(m, pa.binary()),
                 pa.array(
                     [golomb_encode(keys[a:b] - owner[a] * np.uint64(span), k) for a, b, k in zip(cuts, ends, ks)],
                     pa.binary(),
@@ -154,12 +159,12 @@ def _send(owners: int, bits: int):
 NAMES = ["kind", "chunk", "owner", "slot", "twice", "pos", "doc_id", "row_id", "text_sha256", "norm", "payload"]
 SENT = (
     "kind int, chunk long, owner int, slot int, twice boolean, pos int, doc_id long, row_id long, "
-    "text_sha256 string, norm string, payload binary"
+    "text_sha256 string, norm binary, payload binary"
 )
 
 
 def _answer(owners: int, bits: int):
-    """All messages of the owners in this partition: 64-bit words of 'another chunk has it too'."""
+    """All messages of an owner: 64-bit words of 'another chunk has it too'."""
     span = -(-(1 << bits) // owners)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,7 +207,7 @@ def duplicate_classes(
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256, and row_id, the long of
     row_col where given."""
     spark = docs.sparkSession
-    owners = shuffle_partitions(spark)
+    owners = owners_for(spark, docs.count(), OWNER_PRINTS)
     row = F.col(row_col).cast("long") if row_col else F.lit(None).cast("long")
     source = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), row.alias("row_id")
@@ -212,9 +217,7 @@ def duplicate_classes(
 
     messages = sent.where("kind = 1").select("chunk", "owner", F.col("slot").alias("n"), "pos", "payload")
     answers = written(
-        messages.repartition(shuffle_partitions(spark), "owner").mapInArrow(
-            _answer(owners, fp_bits), "chunk long, owner int, words array<long>"
-        ),
+        to_owners(messages, owners).mapInArrow(_answer(owners, fp_bits), "chunk long, owner int, words array<long>"),
         "exact-answers",
     )
     # small answers are broadcast by Spark's own size check, larger ones joined by a shuffle
@@ -227,8 +230,9 @@ def duplicate_classes(
     classes = (
         suspects.groupBy("text_sha256", "norm")
         .agg(F.min(me).alias("keep"), F.count(F.lit(1)).alias("group_size"))
-        .select("text_sha256", "keep", "group_size")
+        .select("text_sha256", "keep", "group_size", F.col("group_size").alias("rows"))
     )
+    classes = written(classes, "exact-classes")
     single = rows.where("not suspect").select(
         "doc_id",
         F.col("doc_id").alias("keep_id"),
@@ -237,7 +241,8 @@ def duplicate_classes(
         "text_sha256",
         *more,
     )
-    grouped = suspects.select("text_sha256", "doc_id", "chunk", "pos", *more).join(classes, "text_sha256").select(
+    members = suspects.select("text_sha256", "doc_id", "chunk", "pos", *more)
+    grouped = spread_join(members, classes, ["text_sha256"], "rows", ["chunk", "pos"], "inner").select(
         "doc_id",
         F.col("keep.doc_id").alias("keep_id"),
         "group_size",
@@ -250,6 +255,8 @@ def duplicate_classes(
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, all columns unchanged."""
-    rows = numbered(docs)
-    dropped = duplicate_classes(rows, id_col, text_col, "__uid").where("not kept").select(F.col("row_id").alias("__uid"))
-    return rows.join(written(dropped, "exact-drops"), "__uid", "left_anti").select(*docs.columns)
+    rows, uid = numbered(docs)
+    with temporary(docs.sparkSession):
+        found = duplicate_classes(rows, id_col, text_col, uid).where("not kept").select(F.col("row_id").alias("uid"))
+        dropped = written(found, "exact-drops", keep=True)
+    return without_rows(rows, uid, dropped, docs)

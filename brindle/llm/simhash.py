@@ -29,17 +29,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered, portions, shuffle_partitions, utf8, written
+from .common import numbered, owners_for, portions, shuffle_partitions, spread_join, temporary, utf8, without_rows, written
 from .components import components
 from .substring_dedup import BASE, MIX, Words, rolling, scramble
 
 SEED = 42
 FRONTIER = 1 << 20
 VOTES = 1 << 17
-ASKED = 1 << 12
 SHARD_ROWS = 1 << 13
-#: Near copies: similarity of five-word shingle sets.
-SIMILARITY, SKETCH = 0.8, 128
+#: Rows of shards that one task searches.
+TASK_NODES = 1 << 20
+#: Near copies: similarity of five-word shingle sets; texts of one shingle that meet in one task.
+SIMILARITY, CELL_ROWS = 0.8, 1 << 12
 #: Texts sampled at least, and shingles kept at most, to put common shingles last.
 COMMON_SAMPLE, COMMON_MOST = 1 << 13, 1 << 18
 BIT_WORDS = 8
@@ -57,7 +58,7 @@ def shingles(raw: bytes, words: int) -> list[bytes]:
     return [text[a:b] for a, b in zip(starts[: -words].tolist(), (starts[words:] - 1).tolist())]
 
 
-def vote(hashes: np.ndarray, sizes: list[int]) -> np.ndarray:
+def vote(hashes: np.ndarray, sizes) -> np.ndarray:
     """Fingerprints of consecutive groups of hashes (sizes may be 0)."""
     out = np.zeros(len(sizes), np.uint64)
     sizes = np.asarray(sizes)
@@ -163,9 +164,8 @@ def search_forest(fps, group, parent, edge, radius: int) -> Iterator[tuple[np.nd
             query, low, fan = query[take:], low[take:], fan[take:]
 
 
-def local_roots(n: int, links, alike=None) -> np.ndarray:
-    """Least element of each local component.  alike(a, b), where given, confirms links; pairs
-    that are connected already aren't asked about."""
+def local_roots(n: int, links) -> np.ndarray:
+    """Least element of each local component."""
     up = np.arange(n)
 
     def find(x):
@@ -176,101 +176,94 @@ def local_roots(n: int, links, alike=None) -> np.ndarray:
             up[x] = up[y]
             x = y
 
-    def join(a, b):
+    for a, b in links:
         while True:
             ra, rb = find(a), find(b)
             differ = ra != rb
             if not differ.any():
-                return
+                break
             a, b, ra, rb = a[differ], b[differ], ra[differ], rb[differ]
             np.minimum.at(up, np.maximum(ra, rb), np.minimum(ra, rb))
+    return find(np.arange(n)) if n else up
+
 
+def first_neighbours(n: int, links) -> np.ndarray:
+    """The earliest element linked to each one directly; itself without one."""
+    out = np.arange(n)
     for a, b in links:
-        if alike is None:
-            join(a, b)
-            continue
-        while len(a):
-            open_ = find(a) != find(b)
-            a, b = a[open_], b[open_]
-            x, y, a, b = a[:ASKED], b[:ASKED], a[ASKED:], b[ASKED:]
-            if len(x):
-                same = alike(x, y)
-                join(x[same], y[same])
-    return find(np.arange(n)) if n else up
+        np.minimum.at(out, a, b)
+    return out
 
 
-def _shard_links(radius: int, similarity: float | None = None):
-    """All shards of one partition: rows mask, value, pair, fp, node and, to confirm links by
-    similarity, sketch."""
+def _shard_links(radius: int, reduce=local_roots):
+    """All shards of one partition: rows mask, value, pair, fp and node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [x for x in batches if x.num_rows]
         if not got:
             return
         mask, value, pair, fps, nodes = (np.concatenate([x.column(i).to_numpy() for x in got]) for i in range(5))
-        alike = None
         order = np.lexsort((nodes, fps, pair, value, mask))
-        if similarity is not None:
-            sketches = [x for y in got for x in y.column(5).to_pylist()]
-
-            def alike(a, b):
-                return similarities([sketches[order[i]] for i in a], [sketches[order[i]] for i in b]) >= similarity
-
         mask, value, pair, nodes = mask[order], value[order], pair[order], nodes[order]
         fps = fps[order].view(np.uint64)
         new = np.ones(len(fps), bool)
         new[1:] = (np.diff(mask) != 0) | (value[1:] != value[:-1]) | (np.diff(pair) != 0)
         group = np.cumsum(new) - 1
         parent, edge = build_forest(fps, group)
-        roots = local_roots(len(fps), search_forest(fps, group, parent, edge, radius), alike)
-        linked = np.flatnonzero(roots != np.arange(len(fps)))
-        yield pa.record_batch([pa.array(nodes[linked]), pa.array(nodes[roots[linked]])], names=["a", "b"])
+        to = reduce(len(fps), search_forest(fps, group, parent, edge, radius))
+        linked = np.flatnonzero(to != np.arange(len(fps)))
+        yield pa.record_batch([pa.array(nodes[linked]), pa.array(nodes[to[linked]])], names=["a", "b"])
 
     return run
 
 
-def shard_edges(nodes: DataFrame, radius: int, similarity: float | None = None, limit: int = SHARD_ROWS) -> DataFrame:
-    """nodes(fp, node, ...) -> a, b: a forest of the links in each shard.
+def shard_edges(nodes: DataFrame, radius: int, limit: int = SHARD_ROWS, reduce=local_roots) -> DataFrame:
+    """nodes(fp, node) -> a, b: a forest of the links in each shard.
 
     A shard of more than `limit` nodes is cut into parts, and each pair of parts is a shard of its
     own, so a task never holds more than two parts of one."""
     spark = nodes.sparkSession
-    masks = block_masks(radius, nodes.count())
+    count = nodes.count()
+    masks = block_masks(radius, count)
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     dealt = F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])).alias("mask", "value")
-    more = [] if similarity is None else ["sketch"]
-    shards = nodes.select("fp", "node", *more, dealt)
-    large = shards.groupBy("mask", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit)
-    if large.count():
-        large = written(large.select("mask", "value", F.ceil(F.col("n") / limit).cast("int").alias("parts")), "large-shards")
+    shards = nodes.select("fp", "node", dealt)
+    large = written(
+        shards.groupBy("mask", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit), "large-shards"
+    )
+    if large.isEmpty():
+        shards = shards.withColumn("pair", F.lit(0))
+    else:
+        large = large.withColumn("parts", F.ceil(F.col("n") / limit).cast("int"))
         part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
         pair = F.transform(
             F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.least("part", x) * F.col("parts") + F.greatest("part", x)
         )
         shards = (
-            shards.join(large, ["mask", "value"], "left")
+            spread_join(shards, large, ["mask", "value"], "n", ["node"])
             .withColumn("parts", F.coalesce("parts", F.lit(1)))
             .withColumn("part", part)
             .withColumn("pair", F.explode(pair))
         )
-    else:
-        shards = shards.withColumn("pair", F.lit(0))
     return (
-        shards.select("mask", "value", "pair", "fp", "node", *more)
-        .repartition(shuffle_partitions(spark), "mask", "value", "pair")
-        .mapInArrow(_shard_links(radius, similarity), "a long, b long")
+        shards.select("mask", "value", "pair", "fp", "node")
+        .repartition(owners_for(spark, count * len(masks), TASK_NODES), "mask", "value", "pair")
+        .mapInArrow(_shard_links(radius, reduce), "a long, b long")
     )
 
 
 def fingerprint_components(prints: DataFrame, radius: int = 4, limit: int = SHARD_ROWS) -> DataFrame:
-    """prints(doc_id, fp) -> fp, component_id for each distinct fingerprint."""
-    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "prints")
-    roots = components(shard_edges(distinct.select("fp", F.col("fp").alias("node")), radius, limit=limit))
-    of = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
-        "fp", "low", F.coalesce("root", "fp").alias("root")
-    )
-    lows = of.groupBy("root").agg(F.min("low").alias("component_id"))
-    return of.join(lows, "root").select("fp", "component_id")
+    """prints(doc_id, fp) -> fp, component_id and n (rows) for each distinct fingerprint."""
+    with temporary(prints.sparkSession):
+        distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")), "prints")
+        roots = components(shard_edges(distinct.select("fp", F.col("fp").alias("node")), radius, limit))
+        of = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
+            "fp", "low", "n", F.coalesce("root", "fp").alias("root")
+        )
+        of = written(of, "print-roots")
+        lows = written(of.groupBy("root").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("prints")), "roots")
+        placed = spread_join(of, lows, ["root"], "prints", ["fp"], "inner")
+        return written(placed.select("fp", "component_id", "n"), "print-components", keep=True)
 
 
 def near_duplicates(
@@ -278,33 +271,12 @@ def near_duplicates(
 ) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every row."""
     prints = written(fingerprints(docs, words, id_col, text_col), "fingerprints")
-    found = written(fingerprint_components(prints, radius), "print-components")
-    return prints.join(found, "fp").select(
+    found = fingerprint_components(prints, radius)
+    return spread_join(prints, found, ["fp"], "n", ["doc_id"], "inner").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
-def similarities(a: list[bytes], b: list[bytes]) -> np.ndarray:
-    """Estimated Jaccard similarity of pairs of sets from their SKETCH least hashes (exact for sets
-    no larger): the share of common ones among the least of the union."""
-    top = np.uint64(0xFFFFFFFF)
-
-    def padded(rows):
-        out = np.full((len(rows), SKETCH), top, np.uint64)
-        for i, x in enumerate(rows):
-            own = np.frombuffer(x, np.uint32)
-            out[i, : len(own)] = own
-        return out
-
-    both = np.sort(np.concatenate([padded(a), padded(b)], axis=1), axis=1)
-    twin = np.zeros(both.shape, bool)
-    twin[:, 1:] = (both[:, 1:] == both[:, :-1]) & (both[:, 1:] != top)
-    rank = np.cumsum(~twin & (both != top), axis=1)
-    size = np.minimum(rank[:, -1], SKETCH)
-    common = (twin & (rank <= SKETCH)).sum(axis=1)
-    return np.where(size > 0, common / np.maximum(size, 1), 1.0)
-
-
 def _sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct 64-bit hashes of the `words`-word shingles of each text, sorted, one text after
     another, and the size of each set; the whole sequence of a shorter text is one shingle."""
@@ -329,17 +301,20 @@ def _sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
 def _all_shingles(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in portions(whole, 0)):
-            yield pa.record_batch([pa.array(_sets(batch.column(0), words)[0].view(np.int64))], names=["token"])
+            values, sizes = _sets(batch.column(0), words)
+            every = np.concatenate([values, np.zeros((sizes == 0).sum(), np.uint64)])
+            yield pa.record_batch([pa.array(every.view(np.int64))], names=["token"])
 
     return run
 
 
 def _common(source: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, sorted, of shingles that many texts share, and their counts in a sample of texts.
-    They only fix the order in which prefixes are taken: any order finds every pair."""
+    """Hashes, sorted, of shingles that many texts share, and their estimated counts, from a sample
+    of texts.  They fix the order in which prefixes are taken and how finely a shingle's texts are
+    dealt out: any order and any dealing finds every pair."""
     count = source.count()
     share = max(1, min(count // COMMON_SAMPLE, 24))
-    sample = source.where(F.pmod(F.xxhash64("__uid"), F.lit(share)) == 0).select("text")
+    sample = source.where(F.pmod(F.xxhash64("uid"), F.lit(share)) == 0).select("text")
     found = (
         sample.mapInArrow(_all_shingles(words), "token long")
         .groupBy("token")
@@ -349,12 +324,14 @@ def _common(source: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
         .limit(COMMON_MOST)
         .toArrow()
     )
-    tokens, n = found["token"].to_numpy().view(np.uint64), found["n"].to_numpy()
+    tokens, n = found["token"].to_numpy().view(np.uint64), found["n"].to_numpy() * share
     order = np.argsort(tokens)
     return tokens[order], n[order]
 
 
-def _prefixes(words: int, ratio: Fraction, common: tuple[np.ndarray, np.ndarray]):
+def _prefixes(words: int, ratio: Fraction, common: tuple[np.ndarray, np.ndarray], cell_rows: int):
+    """What is kept of each text: the size of its shingle set, its SimHash, parities in 512 buckets,
+    the shingles of its prefix, and for each into how many cells the shingle's texts are dealt."""
     known, often = common
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -364,154 +341,215 @@ def _prefixes(words: int, ratio: Fraction, common: tuple[np.ndarray, np.ndarray]
             doc = np.repeat(np.arange(n), sizes)
             spread = np.bincount(doc << 9 | (values >> np.uint64(55)).astype(np.int64), minlength=n << 9) & 1
             bits = np.packbits(spread.astype(np.uint8)).view(np.int64).reshape(n, BIT_WORDS)
+            # wordless texts have one shingle of their own, zero
+            empty = np.flatnonzero(sizes == 0)
+            doc, values = np.concatenate([doc, empty]), np.concatenate([values, np.zeros(len(empty), np.uint64)])
             rank = np.zeros(len(values), np.int64)
             if len(known) and len(values):
                 at = np.minimum(np.searchsorted(known, values), len(known) - 1)
                 rank = np.where(known[at] == values, often[at], 0)
             order = np.lexsort((values, rank, doc))
-            starts = np.cumsum(sizes) - sizes
             # a partner shares at least ceil(ratio * size): one of the others, and one more, is common
             long = sizes + (-ratio.numerator * sizes // ratio.denominator) + 1
-            taken = order[np.arange(len(values)) - starts[doc] < long[doc]].astype(np.int64)
-            long = np.where(sizes > 0, long, 0)
-            tokens = pa.ListArray.from_arrays(
-                pa.array(np.append(0, np.cumsum(long)).astype(np.int32)), pa.array(values[taken].view(np.int64))
-            )
+            full = np.maximum(sizes, 1)
+            starts = np.cumsum(full) - full
+            taken = order[np.arange(len(values)) - starts[doc[order]] < long[doc[order]]]
+            ends = pa.array(np.append(0, np.cumsum(long)).astype(np.int32))
+            cells = (rank[taken] // cell_rows + 1).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (values[taken].view(np.int64), cells)]
+            prints = vote(values[np.argsort(doc, kind="stable")], full)
             yield pa.record_batch(
-                [batch.column(0), batch.column(1), pa.array(sizes.astype(np.int64)), *map(pa.array, bits.T.copy()), tokens],
-                names=["uid", "doc_id", "size", *BITS, "tokens"],
+                [
+                    batch.column(0),
+                    batch.column(1),
+                    pa.array(sizes.astype(np.int64)),
+                    pa.array(prints.view(np.int64)),
+                    *map(pa.array, bits.T.copy()),
+                    *lists,
+                ],
+                names=["uid", "doc_id", "size", "fp", *BITS, "tokens", "cells"],
             )
 
     return run
 
 
-def _shared(ratio: Fraction):
-    """Rows of tokens that several texts have; first and before: two of its texts to try first."""
-    n, d = ratio.numerator, ratio.denominator
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [x for x in batches if x.num_rows]
-        if not got:
-            return
-        token, uid, size, at = (np.concatenate([x.column(i).to_numpy() for x in got]) for i in range(4))
-        order = np.lexsort((uid, token))
-        token, uid, size, at = token[order], uid[order], size[order], at[order]
-        same = token[1:] == token[:-1]
-        shared = np.append(same, False) | np.append(False, same)
-        token, uid, size, at = token[shared], uid[shared], size[shared], at[shared]
-
-        def tried(to):
-            fits = (to != np.arange(len(to))) & ((n + d) * np.minimum(size - at, size[to] - at[to]) >= n * (size + size[to]))
-            return pa.array(uid[to], mask=~fits)
-
-        first = np.searchsorted(token, token)
-        before = np.empty(len(token), np.int64)
-        near = np.lexsort((uid, size, token))
-        before[near[1:]] = np.where(token[near[1:]] == token[near[:-1]], near[:-1], near[1:])
-        before[near[:1]] = near[:1]
-        yield pa.record_batch(
-            [*map(pa.array, (token, uid, size, at)), tried(first), tried(before)],
-            names=["token", "uid", "size", "at", "first", "before"],
-        )
-
-    return run
-
-
-def _whole_sets(words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in portions(whole, 1)):
-            values, sizes = _sets(batch.column(1), words)
-            ends = np.append(0, np.cumsum(sizes))
-            sets = [values[a:b].tobytes() for a, b in zip(ends, ends[1:])]
-            yield pa.record_batch([batch.column(0), pa.array(sets, pa.binary())], names=["uid", "shingles"])
-
-    return run
-
-
-def _alike(ratio: Fraction):
+def _centred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows token, cell, hot, at, uid in that order -> those whose cell has two texts or more, or
+    whose token is hot, with the cell's first text as its centre.  Rows stream through."""
+    names = ["token", "uid", "at", "centre", "hot"]
+    last, centre, held = None, 0, None  # cell of the last row, its centre, its only row so far
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        token, cell, hot, at, uid = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+        new = np.ones(len(token), bool)
+        new[1:] = (token[1:] != token[:-1]) | (cell[1:] != cell[:-1])
+        new[0] = (token[0], cell[0]) != last
+        group = np.cumsum(new)  # 0: the last cell goes on
+        starts = np.flatnonzero(new)
+        own = np.append(centre, uid[starts])[group]
+        size = np.bincount(group, minlength=int(group[-1]) + 1)
+        if not new[0]:
+            size[0] += 2  # it has a row already
+            if held is not None:
+                yield pa.record_batch([pa.array([x]) for x in held], names=names)
+        held = None
+        keep = (size[group] > 1) | hot
+        if not keep[-1]:
+            held = (token[-1], uid[-1], at[-1], uid[-1], False)
+        last, centre = (token[-1], cell[-1]), own[-1]
+        yield pa.record_batch([pa.array(x[keep]) for x in (token, uid, at, own, hot)], names=names)
+
+
+def _alike(words: int, ratio: Fraction):
+    """Rows a, b and their texts -> the pairs whose whole shingle sets are similar enough."""
     n, d = ratio.numerator, ratio.denominator
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            same = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
-                both = np.sort(np.concatenate([x, y]), kind="stable")
-                same.append((n + d) * int((both[1:] == both[:-1]).sum()) >= n * len(both))
-            keep = pa.array(same, pa.bool_())
+        for batch in (part for whole in batches for part in portions(whole, 2)):
+            (left, sizes), (right, others) = (_sets(batch.column(i), words) for i in (2, 3))
+            rows = np.arange(batch.num_rows)
+            pair = np.concatenate([np.repeat(rows, sizes), np.repeat(rows, others)])
+            value = np.concatenate([left, right])
+            order = np.lexsort((value, pair))
+            pair, value = pair[order], value[order]
+            twin = (pair[1:] == pair[:-1]) & (value[1:] == value[:-1])
+            common = np.bincount(pair[1:][twin], minlength=batch.num_rows)
+            keep = pa.array((n + d) * common >= n * (sizes + others))
             yield pa.record_batch([batch.column(i).filter(keep) for i in (0, 1)], names=["a", "b"])
 
     return run
 
 
-def confirmed(pairs: DataFrame, source: DataFrame, words: int, ratio: Fraction) -> DataFrame:
-    """The pairs (a, b) of row numbers whose whole shingle sets are similar enough."""
-    pairs = written(pairs, "copy-pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("__uid")).distinct()
-    texts = source.join(wanted, "__uid", "left_semi").select("__uid", "text")
-    sets = written(texts.mapInArrow(_whole_sets(words), "uid long, shingles binary"), "copy-sets")
-    one, two = (sets.select(F.col("uid").alias(x), F.col("shingles").alias(f"of_{x}")) for x in "ab")
-    joined = pairs.join(one, "a").join(two, "b").select("a", "b", "of_a", "of_b")
-    return written(joined.mapInArrow(_alike(ratio), "a long, b long"), "copy-links")
+class _NearCopies:
+    """The rows of source(uid, doc_id, text) linked by a similarity of shingle sets.
+
+    Two sets of similarity t have a common shingle among the first (1 - t) * size + 1 of each, in any
+    one order of shingles; common ones come last.  A first round proposes a bounded number of partners
+    for each text: a SimHash neighbour from the BK-trees, a text with the same SimHash, and the text
+    with the fewest rarer shingles among those that share a shingle.  The second round compares all
+    texts that share a shingle and aren't connected yet, so a large group of copies doesn't cost the
+    square of its size.  Proposals are filtered by size, position and parities, none of which can
+    lose a pair, and decided on the whole sets."""
+
+    def __init__(self, source: DataFrame, words: int, ratio: Fraction, radius: int, cell_rows: int):
+        self.spark, self.source, self.words, self.ratio, self.radius = source.sparkSession, source, words, ratio, radius
+        self.cell_rows = cell_rows
+        shape = f"uid long, doc_id long, size long, fp long, {', '.join(f'{b} long' for b in BITS)}, tokens array<long>, cells array<int>"
+        found = source.mapInArrow(_prefixes(words, ratio, _common(source, words), cell_rows), shape)
+        self.prints = written(found, "copy-prints")
+
+    def shared(self) -> DataFrame:
+        """token, uid, at, centre, hot of prefix shingles that several texts have."""
+        dealt = self.prints.select("uid", F.posexplode(F.arrays_zip("tokens", "cells")).alias("at", "t"))
+        dealt = dealt.select(
+            F.col("t.tokens").alias("token"),
+            F.pmod(F.xxhash64("uid"), F.col("t.cells")).cast("int").alias("cell"),
+            (F.col("t.cells") > 1).alias("hot"),
+            "at",
+            "uid",
+        )
+        cells = dealt.repartition(shuffle_partitions(self.spark), "token", "cell").sortWithinPartitions("token", "cell", "at", "uid")
+        return written(cells.mapInArrow(_centred, "token long, uid long, at int, centre long, hot boolean"), "copy-shared")
+
+    def tries(self, shared: DataFrame) -> DataFrame:
+        """Pairs a < b of the first round: a few for each text."""
+        counted = shared.where("uid <> centre").groupBy("uid", "centre").agg(F.count(F.lit(1)).alias("n"))
+        found = counted.groupBy("uid").agg(F.max(F.struct("n", "centre"))["centre"].alias("to"))
+        # the centres of a hot shingle's cells among themselves
+        centres = shared.where("hot and uid = centre").select("token", "at", "uid")
+        hubs = centres.groupBy("token").agg(F.min(F.struct("at", "uid"))["uid"].alias("to"))
+        found = found.union(centres.join(hubs, "token").select("uid", "to"))
+        # equal SimHashes, in cells like shingles, and the BK-trees' direct neighbours
+        prints = self.prints.select("uid", "fp")
+        distinct = written(prints.groupBy("fp").agg(F.min("uid").alias("first"), F.count(F.lit(1)).alias("n")), "copy-fps")
+        cells = F.ceil(F.col("n") / self.cell_rows).cast("int")
+        many = distinct.where("n > 1").select("fp", "first", cells.alias("cells"), "n")
+        twins = spread_join(prints, many, ["fp"], "n", ["uid"], "inner")
+        twins = twins.withColumn("cell", F.pmod(F.xxhash64("uid"), F.col("cells")))
+        heads = twins.groupBy("fp", "cell").agg(F.min("uid").alias("to"), F.min("first").alias("first"))
+        found = found.union(twins.join(heads.drop("first"), ["fp", "cell"]).select("uid", "to"))
+        found = found.union(heads.select(F.col("to").alias("uid"), F.col("first").alias("to")))
+        near = shard_edges(distinct.select("fp", F.col("first").alias("node")), self.radius, reduce=first_neighbours)
+        found = found.union(near.toDF("uid", "to"))
+        ends = found.where("uid <> to").select(F.least("uid", "to").alias("a"), F.greatest("uid", "to").alias("b")).distinct()
+        x, y = (self.prints.select("uid", "size", *BITS).alias(z) for z in "xy")
+        return ends.join(x, F.expr("a = x.uid")).join(y, F.expr("b = y.uid")).where(self.near()).select("a", "b")
+
+    def near(self) -> str:
+        """SQL: the sets of x and y may be similar enough by size and parities."""
+        n, d = self.ratio.numerator, self.ratio.denominator
+        apart = " + ".join(f"bit_count(x.{b} ^ y.{b})" for b in BITS)
+        return (
+            f"{d} * least(x.size, y.size) >= {n} * greatest(x.size, y.size) "
+            f"and {n + d} * ({apart}) <= {d - n} * (x.size + y.size)"
+        )
+
+    def confirmed(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose whole shingle sets are similar enough."""
+        pairs = written(pairs, "copy-pairs")
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
+        texts = written(self.source.join(wanted, "uid", "left_semi").select("uid", "text"), "copy-texts")
+        one, two = (texts.select(F.col("uid").alias(x), F.col("text").alias(f"of_{x}")) for x in "ab")
+        joined = pairs.join(one, "a").join(two, "b").select("a", "b", "of_a", "of_b")
+        return written(joined.mapInArrow(_alike(self.words, self.ratio), "a long, b long"), "copy-links")
+
+    def rest(self, shared: DataFrame, roots: DataFrame) -> DataFrame:
+        """Pairs of the second round: texts that share a shingle and aren't connected."""
+        n, d = self.ratio.numerator, self.ratio.denominator
+        placed = shared.select("token", "uid", "at").join(roots.toDF("uid", "root"), "uid", "left")
+        placed = placed.withColumn("root", F.coalesce("root", "uid"))
+        mixed = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n"))
+        mixed = written(mixed.where("low <> high").select("token", "n", F.ceil(F.col("n") / self.cell_rows).cast("int").alias("parts")), "copy-mixed")
+        rows = spread_join(placed, mixed, ["token"], "n", ["uid"], "inner")
+        # a similar set is at most d / n as large, so in the same band of sizes or the next
+        band = F.floor(F.log(max(d / n, 1.01), F.greatest("size", F.lit(1)).cast("double")) + F.lit(1e-9)).cast("int")
+        rows = rows.join(self.prints.select("uid", "size", band.alias("band"), *BITS), "uid")
+        rows = written(rows.withColumn("part", F.pmod(F.xxhash64("uid"), F.col("parts")).cast("int")), "copy-rows")
+        # texts of a shingle are cut into parts, every two of which meet in a task of their own
+        meet = "transform(sequence(0, parts - 1), q -> least(part, q) * parts + greatest(part, q))"
+        rows = rows.withColumn("pair", F.explode(F.expr(meet)))
+        x = rows.withColumn("key", F.explode(F.array(F.col("band"), F.col("band") + 1))).alias("x")
+        y = rows.withColumn("key", F.col("band")).alias("y")
+        test = (
+            "x.token = y.token and x.pair = y.pair and x.key = y.key and x.root <> y.root "
+            "and (x.band <> y.band or x.uid < y.uid) and (x.part <> y.part or x.pair = x.part * x.parts + x.part) "
+            f"and {n + d} * least(x.size - x.at, y.size - y.at) >= {n} * (x.size + y.size) and {self.near()}"
+        )
+        pairs = x.join(y, F.expr(test)).select(F.least("x.uid", "y.uid").alias("a"), F.greatest("x.uid", "y.uid").alias("b"))
+        return pairs.distinct()
+
+    def dropped(self) -> DataFrame:
+        """uid of the rows that have a linked row with a smaller id."""
+        shared = self.shared()
+        links = self.confirmed(self.tries(shared))
+        rest = self.confirmed(self.rest(shared, components(links)))
+        roots = components(links.union(rest)).toDF("uid", "root")
+        linked = roots.union(roots.select(F.col("root").alias("uid"), "root").distinct())
+        placed = written(self.prints.select("uid", "doc_id").join(linked, "uid"), "copy-placed")
+        me = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")
+        first = written(placed.groupBy("root").agg(F.min(me)["uid"].alias("first"), F.count(F.lit(1)).alias("n")), "copy-firsts")
+        return spread_join(placed, first, ["root"], "n", ["uid"], "inner").where("uid <> first").select("uid")
 
 
 def drop_near_copies(
-    docs: DataFrame, words: int = 5, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    words: int = 5,
+    similarity: float = SIMILARITY,
+    radius: int = 4,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    cell_rows: int = CELL_ROWS,
 ) -> DataFrame:
     """The rows of docs without near copies: of each group linked by a Jaccard similarity of at
     least `similarity` between their five-word shingle sets the row with the smallest id stays.
-    All columns stay.
-
-    No pair is missed.  Shingles are put in one order, those that many texts share last.  Two sets
-    of similarity t have a common shingle among the first (1 - t) * size + 1 of each, and at the
-    first such one enough is left of both to reach t.  Sets whose parities in 512 buckets differ in
-    too many places can't be similar.  What passes is decided on the whole sets.  A first round
-    tries two partners of each text; the second compares all those texts that share a shingle and
-    aren't connected yet, so a large group of copies doesn't cost the square of its size."""
-    ratio = Fraction(str(similarity))
-    n, d = ratio.numerator, ratio.denominator
-    rows = numbered(docs)
-    source = rows.select("__uid", F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    shape = f"uid long, doc_id long, size long, {', '.join(f'{b} long' for b in BITS)}, tokens array<long>"
-    prints = written(source.mapInArrow(_prefixes(words, ratio, _common(source, words)), shape), "copy-prints")
-    # wordless texts have one token of their own
-    each = F.when(F.col("size") == 0, F.array(F.lit(0).cast("long"))).otherwise(F.col("tokens"))
-    dealt = prints.select("uid", "size", F.posexplode(each).alias("at", "token"))
-    shared = written(
-        dealt.select("token", "uid", "size", F.col("at").cast("long").alias("at"))
-        .repartition(shuffle_partitions(docs.sparkSession), "token")
-        .mapInArrow(_shared(ratio), "token long, uid long, size long, at long, first long, before long"),
-        "copy-shared",
-    )
-    tries = None
-    for other in ("first", "before"):
-        counted = shared.where(F.col(other).isNotNull()).groupBy("uid", other).agg(F.count(F.lit(1)).alias("n"))
-        best = counted.groupBy("uid").agg(F.max_by(other, F.struct("n", other)).alias("to"))
-        tries = best if tries is None else tries.union(best)
-    tries = tries.select(F.least("uid", "to").alias("a"), F.greatest("uid", "to").alias("b")).distinct()
-    apart = " + ".join(f"bit_count(x.{b} ^ y.{b})" for b in BITS)
-    near = (
-        f"{d} * least(x.size, y.size) >= {n} * greatest(x.size, y.size) "
-        f"and {n + d} * ({apart}) <= {d - n} * (x.size + y.size)"
-    )
-    x, y = (prints.select("uid", "size", *BITS).alias(z) for z in "xy")
-    tries = tries.join(x, F.expr("a = x.uid")).join(y, F.expr("b = y.uid")).where(near).select("a", "b")
-    links = confirmed(tries, source, words, ratio)
-    roots = components(links)
-    facts = prints.select("uid", *BITS).join(roots.withColumnRenamed("node", "uid"), "uid", "left")
-    facts = facts.withColumn("root", F.coalesce("root", "uid"))
-    shared = written(shared.drop("first", "before").join(facts, "uid"), "copy-rows")
-    x, y = shared.alias("x"), shared.alias("y")
-    test = (
-        f"x.token = y.token and x.uid < y.uid and x.root <> y.root "
-        f"and {n + d} * least(x.size - x.at, y.size - y.at) >= {n} * (x.size + y.size) and {near}"
+    All columns stay.  SimHash and BK-trees propose pairs, a prefix filter those they miss; no pair
+    is missed, and every pair is decided on the whole sets."""
+    rows, uid = numbered(docs)
+    source = rows.select(
+        F.col(uid).alias("uid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")
     )
-    rest = x.join(y, F.expr(test)).select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b")).distinct()
-    roots = components(links.union(confirmed(rest, source, words, ratio)))
-    joined = roots.withColumnRenamed("node", "uid")
-    linked = joined.union(joined.select(F.col("root").alias("uid"), "root").distinct())
-    placed = prints.select("uid", "doc_id").join(linked, "uid")
-    me = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")
-    first = placed.groupBy("root").agg(F.min(me)["uid"].alias("first"))
-    dropped = written(placed.join(first, "root").where("uid <> first").select(F.col("uid").alias("__uid")), "copy-drops")
-    return rows.join(dropped, "__uid", "left_anti").select(*docs.columns)
+    with temporary(docs.sparkSession):
+        work = _NearCopies(source, words, Fraction(str(similarity)), radius, cell_rows)
+        dropped = written(work.dropped(), "copy-drops", keep=True)
+    return without_rows(rows, uid, dropped, docs)

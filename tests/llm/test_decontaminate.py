@@ -41,11 +41,12 @@ def rows(docs, items):
     return sorted(map(tuple, found.collect()), key=str)
 
 
+LONG = "ΟΔΟΣ'ΑΒΓ " + "ΣΑΣ-ΣΑΣ.Σ " * 4 + "x y z u v w r s"
 ITEMS = [(1, "One TWO three"), (2, "one, two; three"), (3, ""), (None, "four"), (4, None), (5, "é É 5"), (6, " ".join(f"w{i}" for i in range(20))),
-         (7, " ".join(f"W{i}" for i in range(5, 30))), (8, "K k")]
+         (7, " ".join(f"W{i}" for i in range(5, 30))), (8, "K k"), (9, "ΑΒΓΑΣ.ΑΒΓ one two"), (10, LONG), (11, "İstanbul IĞDIR \u212aelvin")]
 DOCS = [(1, "x one-two_three y"), (2, "ONE two\nthree"), (3, "é É 5 É é 5"), (4, None), (5, ""), (6, "four"), (6, "four"),
         (7, ".." + ", ".join(f"w{i}" for i in range(40)) + ".."), (8, "w0 " * 50), (9, "one two " * 400 + "three" + " z" * 20000), (None, "four one two three"),
-        (10, "K k"), (11, "K K")]
+        (10, "K k"), (11, "K K"), (12, "ΑΒΓΑΣ.ΑΒΓ one two"), (13, LONG), (14, "αβγας αβγ one two"), (15, "İSTANBUL IĞDIR \u212aELVIN kelvin")]
 
 
 def frames(spark):
@@ -57,8 +58,16 @@ def test_odd_rows(spark):
     assert rows(*frames(spark)) == brute(DOCS, ITEMS)
 
 
-def test_a_benchmark_too_large_to_broadcast(spark, monkeypatch):
+def test_verbatim_copies_are_hit_whatever_the_script(spark):
+    found = {r["doc_id"]: (r["n_words"], r["n_hit"]) for r in D.contamination(*frames(spark)).collect()}
+    assert found[12] == (4, 4) and found[13] == (22, 22) and found[15][1] == 3
+
+
+@pytest.mark.parametrize("join", [1 << 20, 3])
+def test_a_benchmark_too_large_for_the_scan(spark, monkeypatch, join):
     monkeypatch.setattr(D, "SET_BOUND", 3)
+    monkeypatch.setattr(D, "JOIN_BOUND", join)
+    monkeypatch.setattr(D, "TEXT_BOUND", 0)
     assert rows(*frames(spark)) == brute(DOCS, ITEMS)
 
 
@@ -90,6 +99,13 @@ def test_empty(spark, which):
     assert D.clean(docs, items).count() == len(got)
 
 
+def test_clean_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "one two three " + "x " * 99, 7, True, "a"), (2, "none", 9, None, "b")], "doc_id long, text string, __uid long, __BAD boolean, `a.b` string")
+    items = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
+    got = sorted(map(tuple, D.clean(docs, items).collect()))
+    assert got == [(1, "x " * 99, 7, True, "a"), (2, "none", 9, None, "b")]
+
+
 def test_plan_is_native(spark):
     plan = D.contamination(*frames(spark))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan

@@ -74,3 +74,31 @@ def test_a_hot_group(spark, copies):
     df = spark.range(copies * 3).selectExpr("id as doc_id", f"if(id < {copies}, 'same  text', concat('t', id)) as text").repartition(7)
     rows = E.duplicate_classes(df).where("group_size > 1").collect()
     assert len(rows) == copies and {r["keep_id"] for r in rows} == {0} and sum(r["kept"] for r in rows) == 1
+
+
+def test_invalid_utf8_is_compared_by_bytes(spark):
+    df = spark.sql("select * from values (1L, X'61FF'), (2L, X'61FE'), (3L, X'61FF'), (4L, X'61C3') t(doc_id, b)")
+    df = df.selectExpr("doc_id", "cast(b as string) as text").repartition(2)
+    assert sorted((r["doc_id"], r["keep_id"]) for r in E.duplicate_classes(df).collect()) == [(1, 1), (2, 2), (3, 1), (4, 4)]
+    assert sorted(r["doc_id"] for r in E.deduplicate(df).collect()) == [1, 2, 4]
+
+
+def test_columns_of_any_name_stay(spark):
+    df = spark.createDataFrame([(1, "a", 77, "x"), (2, "a", 78, "y"), (3, "b", 79, "z")], "doc_id long, text string, __uid long, `a.b` string")
+    kept = E.deduplicate(df)
+    assert kept.columns == df.columns
+    assert sorted(map(tuple, kept.collect())) == [(1, "a", 77, "x"), (3, "b", 79, "z")]
+
+
+def test_a_hot_class_without_adaptive_execution(spark, monkeypatch):
+    from brindle.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 50)
+    monkeypatch.setattr(common, "HOT_KEYS", 4)
+    df = spark.range(900).selectExpr("id as doc_id", "if(id % 3 = 0, 'same', concat('t', id div 2)) as text").repartition(5)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = sorted(map(tuple, E.duplicate_classes(df).collect()), key=str)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert rows == brute([tuple(r) for r in df.collect()])

@@ -151,13 +151,6 @@ def test_near_copies_odd_rows(odd, empty):
     assert S.near_duplicates(empty).collect() == []
 
 
-def test_similarities_are_exact_for_small_sets():
-    pack = lambda s: np.array(sorted(s), np.uint32).tobytes()
-    pairs = [({1, 2, 3}, {2, 3, 4}), (set(), set()), ({1}, set()), ({5, 9}, {5, 9})]
-    got = S.similarities([pack(a) for a, _ in pairs], [pack(b) for _, b in pairs])
-    assert got.tolist() == [0.5, 1.0, 0.0, 1.0]
-
-
 def shingle_set(text, k=5):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
@@ -211,7 +204,8 @@ def test_extended_and_truncated_copies_go(spark, share):
     assert left == kept_by_brute_force(rows) and len(left) < 40
 
 
-def test_copies_among_common_passages(spark):
+@pytest.mark.parametrize("cell_rows", [S.CELL_ROWS, 9])
+def test_copies_among_common_passages(spark, cell_rows):
     """A passage that all texts share, and a large group of copies, hide no pair."""
     rng = np.random.default_rng(9)
     passage, base = invented(rng, 60), invented(rng, 200)
@@ -222,4 +216,5 @@ def test_copies_among_common_passages(spark):
         rows.append((i, " ".join(passage + words)))
     rows += [(200 + i, " ".join(t.split()[: 190 + i])) for i, t in rows[::7]]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    assert sorted(r["doc_id"] for r in S.drop_near_copies(df).collect()) == kept_by_brute_force(rows)
+    left = S.drop_near_copies(df, cell_rows=cell_rows)
+    assert sorted(r["doc_id"] for r in left.collect()) == kept_by_brute_force(rows)
