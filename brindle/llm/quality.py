@@ -6,12 +6,13 @@ lower-cased words of the whole text, hashed; statistics of its structure (word l
 symbols, digits, repetition, lines); and its size as metadata.  Labels, language, source and id
 are never inputs.
 
-Training uses at most TRAIN_ROWS labelled rows (a documented bound), the ones with the smallest
-hash of their id among those outside the held-out fold; the fitted weights (about 2 MB) go to the
-tasks.  Every row is scored over its whole text.
+Training uses at most TRAIN_ROWS labelled ids and TRAIN_FEATURES features of their texts (documented
+bounds), those with the smallest hash of their id among the ones outside the held-out fold; the
+fitted weights (about 2 MB) go to the tasks.  Every row is scored over its whole text.
 
 Defined cases: null and empty texts get a score from their size alone; without labels of both
-kinds every score is the share of good labels (0.5 without any); repeated rows get equal scores;
+kinds every score is the share of good labels (0.5 without any); an id labelled both ways isn't
+learnt from, and of texts with one id the one with the least hash is; repeated rows get equal scores;
 a null id counts as held out; an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import portions
+from .common import portions, temporary, written
 
 WORD_BITS = 15
 BINS = 24
@@ -34,6 +35,7 @@ STATS = 10
 FEATURES = (1 << WORD_BITS) + STATS * BINS
 RANK = 8
 TRAIN_ROWS = 8192
+TRAIN_FEATURES = 1 << 23
 EPOCHS = 20
 BATCH = 64
 THRESHOLD = 0.3
@@ -175,19 +177,38 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([part.column(0), part.column(1), *lists], names=["id", "label", "ids", "x"])
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", bound: int = TRAIN_ROWS):
+def train(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    bound: int = TRAIN_ROWS,
+    features_bound: int = TRAIN_FEATURES,
+):
     """A fitted machine, or the constant score where the labels are of one kind or none."""
+    spark = docs.sparkSession
+    labelled = labels.where(F.col("quality").isin(0, 1) & (fold(F.col(id_col)) != 0)).groupBy(F.col(id_col).cast("long").alias("__id"))
     sample = (
-        labels.where(F.col("quality").isin(0, 1) & (fold(F.col(id_col)) != 0))
-        .select(F.col(id_col).cast("long").alias("__id"), F.col("quality").cast("int").alias("label"))
-        .dropDuplicates(["__id"])
+        labelled.agg(F.min("quality").cast("int").alias("label"), F.max("quality").cast("int").alias("other"))
+        .where("label = other")
         .orderBy(F.xxhash64("__id"), "__id")
         .limit(bound)
+        .select("__id", "label")
     )
     rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("text"))
-    joined = rows.join(F.broadcast(sample), "__id").select("__id", "label", "text")  # the sample has `bound` rows at most
-    got = joined.mapInArrow(_extract, "id long, label int, ids array<int>, x array<float>")
-    data = got.limit(2 * bound).toArrow().combine_chunks()
+    joined = rows.join(F.broadcast(sample), "__id")  # the sample has `bound` rows at most
+    one = joined.groupBy("__id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    with temporary(spark):
+        made = one.select("__id", "label", "text").mapInArrow(_extract, "id long, label int, ids array<int>, x array<float>")
+        made = written(made, "training").withColumn("h", F.xxhash64("id"))
+        sizes = made.select("h", "id", F.size("ids").alias("n")).toArrow()
+        h, key = (sizes[x].to_numpy() for x in ("h", "id"))
+        order = np.lexsort((key, h))
+        last = int(np.searchsorted(np.cumsum(sizes["n"].to_numpy()[order]), features_bound, side="right"))
+        if last < len(order):
+            h, key = int(h[order[last]]), int(key[order[last]])
+            made = made.where(f"h < {h} or (h = {h} and id < {key})")
+        data = made.drop("h").toArrow().combine_chunks()
     label, key = data["label"].to_numpy().astype(np.float64), data["id"].to_numpy().copy()
     if len(label) == 0 or label.min() == label.max():
         return float(label.mean()) if len(label) else 0.5
@@ -197,8 +218,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     values = data["x"].combine_chunks().values.to_numpy().copy()
     del data, lists
     pa.default_memory_pool().release_unused()
-    # rows in one order whatever the partitions
-    order = np.lexsort((np.diff(bounds), key))
+    order = np.argsort(key)  # rows in one order whatever the partitions
     sizes = np.diff(bounds)[order]
     ends = np.cumsum(sizes)
     take = np.arange(ends[-1]) - np.repeat(ends - sizes, sizes) + np.repeat(bounds[order], sizes)

@@ -77,3 +77,60 @@ def test_keep_good(spark, documents, sf):
     rows = kept.collect()
     assert {r["doc_id"] for r in rows} == want and len(rows) == len(want)
     assert {r["doc_id"]: r["text"] for r in rows}.items() <= {r["doc_id"]: r["text"] for r in documents.collect()}.items()
+
+
+def slow_features(text):
+    """Feature numbers and values of one text, word by word."""
+    text = text or ""
+    words = [w.decode() for w in text.encode().split()]
+    n, chars = max(len(words), 1), max(sum(map(len, words)), 1)
+    symbols = [sum(not c.isalpha() and not c.isdigit() for c in w) for w in words]
+    shares = [
+        np.log2(1 + len(words)) / 20,
+        np.log2(1 + len(text.encode())) / 28,
+        min(chars / n / 16, 1),
+        sum(w.isupper() and sum(c.isalpha() for c in w) > 1 for w in words) / n,
+        sum(symbols) / chars,
+        sum(s > 0 for s in symbols) / n,
+        sum(c.isdigit() for w in words for c in w) / chars,
+        len(set(words)) / n,
+        sum(a == b for a, b in zip(words, words[1:])) / n,
+        min(4 * text.count("\n") / n, 1),
+    ]
+    buckets = {Q.xxhash.xxh64_intdigest(w.lower().encode()) >> (64 - Q.WORD_BITS) for w in words}
+    out = {b: 1 / np.sqrt(len(buckets)) for b in buckets}
+    out |= {(1 << Q.WORD_BITS) + k * Q.BINS + min(int(s * Q.BINS), Q.BINS - 1): 1.0 for k, s in enumerate(shares)}
+    return out
+
+
+def test_query_against_pairwise_interactions(spark, sf):
+    """op9's scores, each recomputed from its text by summing over all pairs of features."""
+    from brindle.llm import queries
+
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    machine = Q.train(docs, labels)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    rows = queries.op9_quality(spark, sf).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        x = slow_features(texts[r["doc_id"]])
+        ids, values = np.array(list(x)), np.array(list(x.values()))
+        v = machine.v[ids] * values[:, None]
+        pairs = np.triu(v @ v.T, 1).sum()
+        margin = machine.bias + machine.w[ids] @ values + pairs
+        assert abs(r["score"] - 1 / (1 + np.exp(-margin))) < 1e-3, r["doc_id"]
+        assert r["predicted"] == int(r["score"] >= 0.3) and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+
+
+def test_conflicting_labels_and_repeated_ids(spark, documents, sf):
+    """Neither the order of rows nor an id labelled both ways changes what is learnt."""
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality")
+    free = [i for i in range(10_000, 10_040) if zlib.crc32(str(i).encode()) % 5]
+    both = spark.createDataFrame([(i, q) for i in free for q in (0, 1)], "doc_id long, quality int")
+    text = spark.createDataFrame([(i, f"odd one {i}") for i in free], "doc_id long, text string")
+    some = documents.select("doc_id", "text")
+    more = some.union(some.selectExpr("doc_id", "concat('zz ', text) as text")).union(some).union(text)
+    first, again = Q.train(more, labels.union(both)), Q.train(more.repartition(3), both.union(labels).repartition(2))
+    assert (first.w == again.w).all() and (first.v == again.v).all()
+    small = Q.train(more, labels, features_bound=3000)
+    assert isinstance(small, Q.Machine) and (small.w != 0).sum() < (first.w != 0).sum()
