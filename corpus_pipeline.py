@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from brindle.llm import decontaminate, exact_dedup, quality, sentencepiece_bpe, simhash
-from brindle.llm.common import table, written
+from brindle.llm.common import table, temporary, written
 from brindle.llm.queries import VOCABULARY
 
 
@@ -26,7 +26,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies keep the smallest doc_id."""
+    """Of each group linked by a similarity of 0.8 or more (five-word shingles) keep the smallest doc_id."""
     return simhash.drop_near_copies(docs)
 
 
@@ -55,5 +55,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        with temporary(spark):  # what a stage wrote on its way goes once its result is written
+            docs = written(stage(spark, docs, sf_dir), f"stage-{name}", keep=True)
     return STAGES[-1][1](spark, docs, sf_dir)
