@@ -41,10 +41,15 @@ SHARD_ROWS = 1 << 13
 TASK_NODES = 1 << 20
 #: Near copies: similarity of five-word shingle sets; texts of one shingle that meet in one task.
 SIMILARITY, CELL_ROWS = 0.8, 1 << 12
+#: A shingle's place in a text, whether it is hot, and its cell share a long.
+AT_BITS, CELL_SHIFT = 32, 33
 #: Texts sampled at least, and shingles kept at most, to put common shingles last.
 COMMON_SAMPLE, COMMON_MOST = 1 << 13, 1 << 18
-BIT_WORDS = 8
-BITS = [f"b{i}" for i in range(BIT_WORDS)]
+#: Logarithms of the least and most parity bits kept of a text, and pairs compared at once.
+LEAST_BITS, MOST_BITS = 9, 16
+PAIRS = 1 << 18
+#: Cells to search again that are broadcast.
+AGAIN = 1 << 18
 
 
 def shingles(raw: bytes, words: int) -> list[bytes]:
@@ -329,9 +334,41 @@ def _common(source: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     return tokens[order], n[order]
 
 
+def parity_sketches(values: np.ndarray, doc: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """For each text the parities of its values in 2 to 4 buckets a value (a power of two).  The
+    parities in which two sets differ are at most as many as the values in which they do."""
+    wide = np.clip(np.ceil(np.log2(2 * np.maximum(sizes, 1))).astype(np.int64), LEAST_BITS, MOST_BITS)
+    ends = np.append(0, np.cumsum(1 << wide))
+    place = ends[doc] + (values & ((np.uint64(1) << wide.astype(np.uint64)) - np.uint64(1))[doc]).astype(np.int64)
+    packed = np.packbits((np.bincount(place, minlength=int(ends[-1])) & 1).astype(np.uint8)).tobytes()
+    return [packed[a:b] for a, b in zip((ends[:-1] >> 3).tolist(), (ends[1:] >> 3).tolist())]
+
+
+def folded(sketch: bytes, size: int) -> np.ndarray:
+    """A sketch brought down to `size` bytes: the parities of its halves are added."""
+    words = np.frombuffer(sketch, np.uint64)
+    while 8 * len(words) > size:
+        words = words[: len(words) // 2] ^ words[len(words) // 2 :]
+    return words
+
+
+def parities_apart(sketches: list[bytes], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many parities the sketches of each pair differ, at the coarser one's resolution."""
+    length = np.array([len(x) for x in sketches])
+    size, out = np.minimum(length[a], length[b]), np.zeros(len(a), np.int64)
+    for width in np.unique(size):
+        some = np.flatnonzero(size == width)
+        for part in np.array_split(some, len(some) * int(width) // (1 << 25) + 1):
+            used, back = np.unique(np.concatenate([a[part], b[part]]), return_inverse=True)
+            rows = np.stack([folded(sketches[x], int(width)) for x in used])
+            m = len(part)
+            out[part] = np.bitwise_count(rows[back[:m]] ^ rows[back[m:]]).sum(axis=1)
+    return out
+
+
 def _prefixes(words: int, ratio: Fraction, common: tuple[np.ndarray, np.ndarray], cell_rows: int):
-    """What is kept of each text: the size of its shingle set, its SimHash, parities in 512 buckets,
-    the shingles of its prefix, and for each into how many cells the shingle's texts are dealt."""
+    """What is kept of each text: the size of its shingle set, its SimHash, parities, the shingles
+    of its prefix, and for each into how many cells the shingle's texts are dealt."""
     known, often = common
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -339,8 +376,7 @@ def _prefixes(words: int, ratio: Fraction, common: tuple[np.ndarray, np.ndarray]
             values, sizes = _sets(batch.column(2), words)
             n = len(sizes)
             doc = np.repeat(np.arange(n), sizes)
-            spread = np.bincount(doc << 9 | (values >> np.uint64(55)).astype(np.int64), minlength=n << 9) & 1
-            bits = np.packbits(spread.astype(np.uint8)).view(np.int64).reshape(n, BIT_WORDS)
+            sketches = parity_sketches(values, doc, sizes)
             # wordless texts have one shingle of their own, zero
             empty = np.flatnonzero(sizes == 0)
             doc, values = np.concatenate([doc, empty]), np.concatenate([values, np.zeros(len(empty), np.uint64)])
@@ -364,24 +400,25 @@ def _prefixes(words: int, ratio: Fraction, common: tuple[np.ndarray, np.ndarray]
                     batch.column(1),
                     pa.array(sizes.astype(np.int64)),
                     pa.array(prints.view(np.int64)),
-                    *map(pa.array, bits.T.copy()),
+                    pa.array(sketches, pa.binary()),
                     *lists,
                 ],
-                names=["uid", "doc_id", "size", "fp", *BITS, "tokens", "cells"],
+                names=["uid", "doc_id", "size", "fp", "sketch", "tokens", "cells"],
             )
 
     return run
 
 
 def _centred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows token, cell, hot, at, uid in that order -> those whose cell has two texts or more, or
-    whose token is hot, with the cell's first text as its centre.  Rows stream through."""
+    """Rows token, place (cell, whether hot, at), uid in that order -> those whose cell has two texts
+    or more, or whose token is hot, with the cell's first text as its centre.  Rows stream through."""
     names = ["token", "uid", "at", "centre", "hot"]
     last, centre, held = None, 0, None  # cell of the last row, its centre, its only row so far
     for batch in batches:
         if not batch.num_rows:
             continue
-        token, cell, hot, at, uid = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+        token, place, uid = (batch.column(i).to_numpy() for i in range(3))
+        cell, hot, at = place >> CELL_SHIFT, (place >> AT_BITS & 1).astype(bool), (place & ((1 << AT_BITS) - 1)).astype(np.int32)
         new = np.ones(len(token), bool)
         new[1:] = (token[1:] != token[:-1]) | (cell[1:] != cell[:-1])
         new[0] = (token[0], cell[0]) != last
@@ -401,6 +438,122 @@ def _centred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(x[keep]) for x in (token, uid, at, own, hot)], names=names)
 
 
+def _close(ratio: Fraction):
+    """Rows a, b, their sizes and sketches -> the pairs that may be similar enough."""
+    n, d = ratio.numerator, ratio.denominator
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, two = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            m = batch.num_rows
+            may = d * np.minimum(one, two) >= n * np.maximum(one, two)
+            sketches = batch.column(4).to_pylist() + batch.column(5).to_pylist()
+            some = np.flatnonzero(may)
+            may[some] = (n + d) * parities_apart(sketches, some, some + m) <= (d - n) * (one + two)[some]
+            yield pa.record_batch([batch.column(i).filter(pa.array(may)) for i in (0, 1)], names=["a", "b"])
+
+    return run
+
+
+PLACE = "token long, pair int, size long, part int, parts int, uid long, at int, root long"
+CELL = f"{PLACE}, sketch binary, failed array<long>"
+
+
+def _whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows in order of token and pair, in tables that cut no cell (token, pair)."""
+    held = None
+    for batch in batches:
+        got = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        token, pair = (got.column(i).to_numpy() for i in (0, 1))
+        cuts = np.flatnonzero((token[1:] != token[:-1]) | (pair[1:] != pair[:-1])) + 1
+        whole = int(cuts[-1]) if len(cuts) else 0  # the last cell may go on in the next batch
+        if whole:
+            yield got.slice(0, whole)
+        held = got.slice(whole)
+    if held is not None and held.num_rows:
+        yield held
+
+
+def _possible_pairs(cells: pa.Table, ratio: Fraction) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows (i, j) of one cell, in order of size, that aren't connected and can be similar enough by
+    size and position; in bounded portions."""
+    n, d = ratio.numerator, ratio.denominator
+    token, pair, size, part, parts, _, at, root = (cells.column(i).to_numpy() for i in range(8))
+    new = np.ones(len(token), bool)
+    new[1:] = (token[1:] != token[:-1]) | (pair[1:] != pair[:-1])
+    cell = np.cumsum(new)
+    last = np.searchsorted(cell << 40 | size, cell << 40 | np.minimum(size * d // n, (1 << 40) - 1), side="right")
+    fan = np.maximum(last - np.arange(len(token)) - 1, 0)
+    ends = np.cumsum(fan)
+    low = 0
+    while low < len(fan):
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + PAIRS, side="right")))
+        own = fan[low:high]
+        i = np.repeat(np.arange(low, high), own)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(own) - own, own)
+        low = high
+        # two texts of one part meet once, in the cell of that part alone
+        may = (root[i] != root[j]) & ((part[i] != part[j]) | (pair[i] == part[i] * parts[i] + part[i]))
+        may &= (n + d) * np.minimum(size[i] - at[i], size[j] - at[j]) >= n * (size[i] + size[j])
+        yield i[may], j[may]
+
+
+def _partnered(ratio: Fraction):
+    """Rows PLACE in order of token, pair and size -> those with a possible partner in their cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cells in _whole_cells(batches):
+            some = np.zeros(cells.num_rows, bool)
+            for i, j in _possible_pairs(cells, ratio):
+                some[i] = some[j] = True
+            yield from cells.filter(pa.array(some)).to_batches()
+
+    return run
+
+
+def _forest(ratio: Fraction):
+    """Rows CELL in order of token, pair and size -> token, pair, a, b: in each cell (token, pair) a
+    forest of the pairs that may be similar enough and aren't connected, likeliest first."""
+    n, d = ratio.numerator, ratio.denominator
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cells in _whole_cells(batches):
+            yield found(cells)
+
+    def found(cells: pa.Table) -> pa.RecordBatch:
+        token, pair, size, _, _, uid, _, root = (cells.column(i).to_numpy() for i in range(8))
+        sketches, failed = cells.column(8).to_pylist(), cells.column(9).to_pylist()
+        # classes: rows of a cell that are connected already
+        _, of = np.unique(np.stack([token, pair, root], axis=1), axis=0, return_inverse=True)
+        up = list(range(len(token)))
+
+        def find(x):
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        bits = np.stack([folded(x, 1 << LEAST_BITS - 3) for x in sketches])
+        out = []
+        for i, j in _possible_pairs(cells, ratio):
+            most = (d - n) * (size[i] + size[j])
+            may = (n + d) * np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64) <= most
+            i, j, most = i[may], j[may], most[may]
+            apart = (n + d) * parities_apart(sketches, i, j)
+            may = apart <= most
+            i, j, share = i[may], j[may], apart[may] / np.maximum(most[may], 1)
+            for k in np.argsort(share, kind="stable").tolist():
+                x, y = find(of[i[k]]), find(of[j[k]])
+                if x != y and uid[j[k]] not in (failed[i[k]] or ()):
+                    up[x] = y
+                    out.append((i[k], j[k]))
+        i, j = (np.array([x[k] for x in out], np.int64) for k in (0, 1))
+        ends = np.sort(np.stack([uid[i], uid[j]], axis=1), axis=1)
+        return pa.record_batch([pa.array(x) for x in (token[i], pair[i], ends[:, 0], ends[:, 1])], names=["token", "pair", "a", "b"])
+
+    return run
+
+
 def _alike(words: int, ratio: Fraction):
     """Rows a, b and their texts -> the pairs whose whole shingle sets are similar enough."""
     n, d = ratio.numerator, ratio.denominator
@@ -427,29 +580,28 @@ class _NearCopies:
     Two sets of similarity t have a common shingle among the first (1 - t) * size + 1 of each, in any
     one order of shingles; common ones come last.  A first round proposes a bounded number of partners
     for each text: a SimHash neighbour from the BK-trees, a text with the same SimHash, and the text
-    with the fewest rarer shingles among those that share a shingle.  The second round compares all
-    texts that share a shingle and aren't connected yet, so a large group of copies doesn't cost the
-    square of its size.  Proposals are filtered by size, position and parities, none of which can
-    lose a pair, and decided on the whole sets."""
+    with the fewest rarer shingles among those that share a shingle.  Further rounds look at the texts
+    that share a shingle and aren't connected yet: a cell compares them by size, position and
+    parities, none of which can lose a pair, and gives out a forest of what is left, so at most
+    one pair for each text.  Pairs are decided on the whole sets; a cell whose pairs all held is done,
+    and others are searched again without the pairs that failed, until none is left."""
 
     def __init__(self, source: DataFrame, words: int, ratio: Fraction, radius: int, cell_rows: int):
         self.spark, self.source, self.words, self.ratio, self.radius = source.sparkSession, source, words, ratio, radius
         self.cell_rows = cell_rows
-        shape = f"uid long, doc_id long, size long, fp long, {', '.join(f'{b} long' for b in BITS)}, tokens array<long>, cells array<int>"
+        shape = "uid long, doc_id long, size long, fp long, sketch binary, tokens array<long>, cells array<int>"
         found = source.mapInArrow(_prefixes(words, ratio, _common(source, words), cell_rows), shape)
         self.prints = written(found, "copy-prints")
 
     def shared(self) -> DataFrame:
         """token, uid, at, centre, hot of prefix shingles that several texts have."""
         dealt = self.prints.select("uid", F.posexplode(F.arrays_zip("tokens", "cells")).alias("at", "t"))
-        dealt = dealt.select(
-            F.col("t.tokens").alias("token"),
-            F.pmod(F.xxhash64("uid"), F.col("t.cells")).cast("int").alias("cell"),
-            (F.col("t.cells") > 1).alias("hot"),
-            "at",
-            "uid",
-        )
-        cells = dealt.repartition(shuffle_partitions(self.spark), "token", "cell").sortWithinPartitions("token", "cell", "at", "uid")
+        cell = F.pmod(F.xxhash64("uid"), F.col("t.cells"))
+        hot = (F.col("t.cells") > 1).cast("long")
+        place = F.shiftleft(cell, CELL_SHIFT) + F.shiftleft(hot, AT_BITS) + F.col("at")
+        dealt = dealt.select(F.col("t.tokens").alias("token"), place.alias("place"), "uid")
+        cells = dealt.repartition(shuffle_partitions(self.spark), "token", F.shiftright("place", CELL_SHIFT))
+        cells = cells.sortWithinPartitions("token", "place", "uid")
         return written(cells.mapInArrow(_centred, "token long, uid long, at int, centre long, hot boolean"), "copy-shared")
 
     def tries(self, shared: DataFrame) -> DataFrame:
@@ -473,17 +625,11 @@ class _NearCopies:
         near = shard_edges(distinct.select("fp", F.col("first").alias("node")), self.radius, reduce=first_neighbours)
         found = found.union(near.toDF("uid", "to"))
         ends = found.where("uid <> to").select(F.least("uid", "to").alias("a"), F.greatest("uid", "to").alias("b")).distinct()
-        x, y = (self.prints.select("uid", "size", *BITS).alias(z) for z in "xy")
-        return ends.join(x, F.expr("a = x.uid")).join(y, F.expr("b = y.uid")).where(self.near()).select("a", "b")
-
-    def near(self) -> str:
-        """SQL: the sets of x and y may be similar enough by size and parities."""
-        n, d = self.ratio.numerator, self.ratio.denominator
-        apart = " + ".join(f"bit_count(x.{b} ^ y.{b})" for b in BITS)
-        return (
-            f"{d} * least(x.size, y.size) >= {n} * greatest(x.size, y.size) "
-            f"and {n + d} * ({apart}) <= {d - n} * (x.size + y.size)"
+        one, two = (
+            self.prints.select(F.col("uid").alias(x), F.col("size").alias(f"size_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab"
         )
+        joined = ends.join(one, "a").join(two, "b").select("a", "b", "size_a", "size_b", "sketch_a", "sketch_b")
+        return joined.mapInArrow(_close(self.ratio), "a long, b long")
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose whole shingle sets are similar enough."""
@@ -494,37 +640,58 @@ class _NearCopies:
         joined = pairs.join(one, "a").join(two, "b").select("a", "b", "of_a", "of_b")
         return written(joined.mapInArrow(_alike(self.words, self.ratio), "a long, b long"), "copy-links")
 
-    def rest(self, shared: DataFrame, roots: DataFrame) -> DataFrame:
-        """Pairs of the second round: texts that share a shingle and aren't connected."""
-        n, d = self.ratio.numerator, self.ratio.denominator
-        placed = shared.select("token", "uid", "at").join(roots.toDF("uid", "root"), "uid", "left")
-        placed = placed.withColumn("root", F.coalesce("root", "uid"))
+    def unconnected(self, shared: DataFrame, roots: DataFrame) -> DataFrame:
+        """The rows CELL, without root and failed, of shingles whose texts aren't all connected."""
+        placed = shared.select("token", "uid", "at").join(roots, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
         mixed = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n"))
-        mixed = written(mixed.where("low <> high").select("token", "n", F.ceil(F.col("n") / self.cell_rows).cast("int").alias("parts")), "copy-mixed")
-        rows = spread_join(placed, mixed, ["token"], "n", ["uid"], "inner")
-        # a similar set is at most d / n as large, so in the same band of sizes or the next
-        band = F.floor(F.log(max(d / n, 1.01), F.greatest("size", F.lit(1)).cast("double")) + F.lit(1e-9)).cast("int")
-        rows = rows.join(self.prints.select("uid", "size", band.alias("band"), *BITS), "uid")
-        rows = written(rows.withColumn("part", F.pmod(F.xxhash64("uid"), F.col("parts")).cast("int")), "copy-rows")
-        # texts of a shingle are cut into parts, every two of which meet in a task of their own
+        mixed = mixed.where("low <> high").select("token", "n", F.ceil(F.col("n") / self.cell_rows).cast("int").alias("parts"))
+        rows = spread_join(placed, written(mixed, "copy-mixed"), ["token"], "n", ["uid"], "inner")
+        rows = rows.join(self.prints.select("uid", "size"), "uid")
+        rows = rows.withColumn("part", F.pmod(F.xxhash64("uid"), F.col("parts")).cast("int"))
+        # texts of a shingle are cut into parts, every two of which meet in a cell of their own
         meet = "transform(sequence(0, parts - 1), q -> least(part, q) * parts + greatest(part, q))"
         rows = rows.withColumn("pair", F.explode(F.expr(meet)))
-        x = rows.withColumn("key", F.explode(F.array(F.col("band"), F.col("band") + 1))).alias("x")
-        y = rows.withColumn("key", F.col("band")).alias("y")
-        test = (
-            "x.token = y.token and x.pair = y.pair and x.key = y.key and x.root <> y.root "
-            "and (x.band <> y.band or x.uid < y.uid) and (x.part <> y.part or x.pair = x.part * x.parts + x.part) "
-            f"and {n + d} * least(x.size - x.at, y.size - y.at) >= {n} * (x.size + y.size) and {self.near()}"
-        )
-        pairs = x.join(y, F.expr(test)).select(F.least("x.uid", "y.uid").alias("a"), F.greatest("x.uid", "y.uid").alias("b"))
-        return pairs.distinct()
+        cells = self.in_cells(rows.select("token", "pair", "size", "part", "parts", "uid", "at", "root"))
+        rows = cells.mapInArrow(_partnered(self.ratio), PLACE).drop("root")
+        return written(rows.join(self.prints.select("uid", "sketch"), "uid"), "copy-rows")
+
+    def in_cells(self, rows: DataFrame) -> DataFrame:
+        rows = rows.repartition(shuffle_partitions(self.spark), "token", "pair")
+        return rows.sortWithinPartitions("token", "pair", "size")
+
+    def search(self, rows: DataFrame, roots: DataFrame, failed: DataFrame) -> DataFrame:
+        """token, pair, a, b: the forests of all cells."""
+        each = failed.union(failed.select("b", "a")).toDF("uid", "to").groupBy("uid").agg(F.collect_list("to").alias("failed"))
+        cells = rows.join(roots, "uid", "left").withColumn("root", F.coalesce("root", "uid")).join(each, "uid", "left")
+        cells = cells.select("token", "pair", "size", "part", "parts", "uid", "at", "root", "sketch", "failed")
+        found = self.in_cells(cells).mapInArrow(_forest(self.ratio), "token long, pair int, a long, b long")
+        return written(found, "copy-forests")
+
+    def links(self) -> DataFrame:
+        """Pairs (a, b) that connect all similar texts."""
+        shared = self.shared()
+        links = self.confirmed(self.tries(shared))
+        roots = components(links).toDF("uid", "root")
+        rows = self.unconnected(shared, roots)
+        failed = links.limit(0)
+        while not (forests := self.search(rows, roots, failed)).isEmpty():
+            pairs = forests.select("a", "b").distinct()
+            good = self.confirmed(pairs)
+            bad = written(pairs.join(good, ["a", "b"], "left_anti"), "copy-failed")
+            links = links.union(good)
+            if bad.isEmpty():
+                break
+            failed = failed.union(bad)
+            roots = components(links).toDF("uid", "root")
+            again = written(forests.join(bad, ["a", "b"]).select("token", "pair").distinct(), "copy-again")
+            if again.count() <= AGAIN:
+                again = F.broadcast(again)
+            rows = written(rows.join(again, ["token", "pair"], "left_semi"), "copy-rows")
+        return links
 
     def dropped(self) -> DataFrame:
         """uid of the rows that have a linked row with a smaller id."""
-        shared = self.shared()
-        links = self.confirmed(self.tries(shared))
-        rest = self.confirmed(self.rest(shared, components(links)))
-        roots = components(links.union(rest)).toDF("uid", "root")
+        roots = components(self.links()).toDF("uid", "root")
         linked = roots.union(roots.select(F.col("root").alias("uid"), "root").distinct())
         placed = written(self.prints.select("uid", "doc_id").join(linked, "uid"), "copy-placed")
         me = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")
