@@ -129,3 +129,74 @@ def test_threshold(margins, labels, cut):
     import numpy as np
 
     assert boosting.threshold(np.array(margins), np.array(labels), 0.6) == cut
+
+
+#: Written by hand, not by the training generator: (text, personal data in it).
+OWN = [
+    ("Please send the signed form to maria.lopez [at] gmail [dot] com before Friday.", "maria.lopez [at] gmail [dot] com"),
+    ("Contact: h.schmidt(at)firma.de for details", "h.schmidt(at)firma.de"),
+    ("you can write to support AT example DOT org any time", "support AT example DOT org"),
+    ("Mi correo es juan_perez arroba hotmail punto com, gracias", "juan_perez arroba hotmail punto com"),
+    ("e-mail: sales{at}my-shop.co", "sales{at}my-shop.co"),
+    ("reach me at bob77 (at) mail.example (dot) net", "bob77 (at) mail.example (dot) net"),
+    ("her mail is anna＠uni-koeln.de.", "anna＠uni-koeln.de"),
+    ("Kontakt: info[at]verein-nord.de", "info[at]verein-nord.de"),
+    ("Call us on (212) 555-0147 between nine and five.", "(212) 555-0147"),
+    ("My cell is 415.555.2671, text me", "415.555.2671"),
+    ("phone 303 555 0199 and ask for Jim", "303 555 0199"),
+    ("Tel. 030 12345678", "030 12345678"),
+    ("Handy: 0171/9876543 oder abends zuhause", "0171/9876543"),
+    ("fax 089-665544", "089-665544"),
+    ("Appelez le 06 12 34 56 78 demain", "06 12 34 56 78"),
+    ("llame al 612 345 678 por la tarde", "612 345 678"),
+    ("tel: 0049 221 4455667", "0049 221 4455667"),
+    ("ring me on 555-0123 tonight", "555-0123"),
+    ("Telefon (040) 334455 ist besetzt", "(040) 334455"),
+    ("my amex card 3782 822463 10005 expires soon", "3782 822463 10005"),
+    ("charge visa 4222222222222 please", "4222222222222"),
+    ("The credit card 4111.1111.1111.1111 was declined", "4111.1111.1111.1111"),
+    ("Konto DE89 3704 0044 0532 0130 00 bei der Bank", "DE89 3704 0044 0532 0130 00"),
+    ("IBAN GB29NWBK60161331926819", "GB29NWBK60161331926819"),
+    ("pay to account FR14 2004 1010 0505 0001 3M02 606 by Monday", "FR14 2004 1010 0505 0001 3M02 606"),
+    ("iban: NL91 ABNA 0417 1643 00", "NL91 ABNA 0417 1643 00"),
+    ("connect to 2001:db8:85a3::8a2e:370:7334 now", "2001:db8:85a3::8a2e:370:7334"),
+    ("host fe80::1ff:fe23:4567:890a is down", "fe80::1ff:fe23:4567:890a"),
+    ("ping 2001:0db8:0000:0000:0000:ff00:0042:8329", "2001:0db8:0000:0000:0000:ff00:0042:8329"),
+    ("The server 192[.]168[.]10[.]5 answered", "192[.]168[.]10[.]5"),
+    ("malware called 203(dot)0(dot)113(dot)77 twice", "203(dot)0(dot)113(dot)77"),
+]
+CLEAN = [
+    "We met at noon. Dot was late, as ever.", "The meeting is at 10:30:15 on 2024-05-06.", "Order 4006381333931 has shipped.", "isbn 978-3-16-148410-0 is out of print",
+    "std::vector and face::bead are names", "It cost 1 200 300 crowns in 1999 2000 2001", "part 555-0123 fits model 77", "On 01.02.2024 and 03/04/2025 nothing happened",
+    "MAC aa:bb:cc:dd:ee:ff belongs to nobody", "Version 10.4.2 of build 20240131", "He looked at the dot on the page", "pi is 3.14159265358979", "room 212.4455 is closed",
+    "a ratio of 3:2 or 16:9", "looked at home. com is a word", "serial 123-456-7890 of the pump",
+]
+
+
+def test_recall_on_texts_written_by_hand(spark):
+    rows = [(i, t) for i, (t, _) in enumerate(OWN)] + [(1000 + i, t) for i, t in enumerate(CLEAN)]
+    spans = pii.digest(pii.find_spans(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
+    texts, missed, wrong = dict(rows), [], []
+    for r in spans:
+        got = {texts[r["doc_id"]][int(s.split(":")[1]) : int(s.split(":")[2])] for s in r["spans"].split(",") if s}
+        if r["doc_id"] < 1000 and OWN[r["doc_id"]][1] not in got:
+            missed.append((OWN[r["doc_id"]][1], got))
+        if r["doc_id"] >= 1000 and got:
+            wrong.append(got)
+    assert len(missed) <= 0.1 * len(OWN), missed
+    assert len(wrong) <= 2, wrong
+
+
+@pytest.mark.parametrize("piece", ["+1 555 123 4567, ", "joe@a.bc ", "call 030 1234567, ", "x [at] y.com "])
+def test_time_grows_with_the_text(spark, piece):
+    import time
+
+    def seconds(n):
+        df = spark.createDataFrame([(1, piece * n)], "doc_id long, text string")
+        began = time.time()
+        pii.digest(pii.find_spans(df)).collect()
+        return time.time() - began
+
+    seconds(2000)
+    small, large = seconds(16000), seconds(64000)
+    assert large < max(4 * 2.3 * small, 8), (small, large)
