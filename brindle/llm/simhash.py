@@ -50,6 +50,8 @@ LEAST_BITS, MOST_BITS = 9, 16
 PAIRS = 1 << 18
 #: Cells to search again that are broadcast.
 AGAIN = 1 << 18
+#: Each round of search gives out so many times more forests of a cell than the one before.
+DEEPER = 16
 
 
 def shingles(raw: bytes, words: int) -> list[bytes]:
@@ -511,9 +513,10 @@ def _partnered(ratio: Fraction):
     return run
 
 
-def _forest(ratio: Fraction):
-    """Rows CELL in order of token, pair and size -> token, pair, a, b: in each cell (token, pair) a
-    forest of the pairs that may be similar enough and aren't connected, likeliest first."""
+def _forests(ratio: Fraction, depth: int):
+    """Rows CELL in order of token, pair and size -> token, pair, a, b, more: of the pairs in each cell
+    (token, pair) that may be similar enough and aren't connected, `depth` forests, likeliest first, and
+    whether the cell has pairs beyond them."""
     n, d = ratio.numerator, ratio.denominator
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -525,16 +528,25 @@ def _forest(ratio: Fraction):
         sketches, failed = cells.column(8).to_pylist(), cells.column(9).to_pylist()
         # classes: rows of a cell that are connected already
         _, of = np.unique(np.stack([token, pair, root], axis=1), axis=0, return_inverse=True)
-        up = list(range(len(token)))
+        _, cell = np.unique(np.stack([token, pair], axis=1), axis=0, return_inverse=True)
+        forests: list[dict[int, int]] = [{} for _ in range(depth)]
 
-        def find(x):
-            while up[x] != x:
-                up[x] = up[up[x]]
-                x = up[x]
+        def find(up, x):
+            while (y := up.get(x, x)) != x:
+                up[x] = up.get(y, y)
+                x = y
             return x
 
+        def joins(x, y) -> bool:
+            for up in forests:
+                x_, y_ = find(up, x), find(up, y)
+                if x_ != y_:
+                    up[x_] = y_
+                    return True
+            return False
+
         bits = np.stack([folded(x, 1 << LEAST_BITS - 3) for x in sketches])
-        out = []
+        out, beyond = [], set()
         for i, j in _possible_pairs(cells, ratio):
             most = (d - n) * (size[i] + size[j])
             may = (n + d) * np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64) <= most
@@ -543,13 +555,17 @@ def _forest(ratio: Fraction):
             may = apart <= most
             i, j, share = i[may], j[may], apart[may] / np.maximum(most[may], 1)
             for k in np.argsort(share, kind="stable").tolist():
-                x, y = find(of[i[k]]), find(of[j[k]])
-                if x != y and uid[j[k]] not in (failed[i[k]] or ()):
-                    up[x] = y
+                if uid[j[k]] in (failed[i[k]] or ()):
+                    continue
+                if joins(int(of[i[k]]), int(of[j[k]])):
                     out.append((i[k], j[k]))
+                else:
+                    beyond.add(int(cell[i[k]]))
         i, j = (np.array([x[k] for x in out], np.int64) for k in (0, 1))
         ends = np.sort(np.stack([uid[i], uid[j]], axis=1), axis=1)
-        return pa.record_batch([pa.array(x) for x in (token[i], pair[i], ends[:, 0], ends[:, 1])], names=["token", "pair", "a", "b"])
+        more = np.isin(cell[i], list(beyond))
+        cols = [pa.array(x) for x in (token[i], pair[i], ends[:, 0], ends[:, 1], more)]
+        return pa.record_batch(cols, names=["token", "pair", "a", "b", "more"])
 
     return run
 
@@ -583,8 +599,9 @@ class _NearCopies:
     with the fewest rarer shingles among those that share a shingle.  Further rounds look at the texts
     that share a shingle and aren't connected yet: a cell compares them by size, position and
     parities, none of which can lose a pair, and gives out a forest of what is left, so at most
-    one pair for each text.  Pairs are decided on the whole sets; a cell whose pairs all held is done,
-    and others are searched again without the pairs that failed, until none is left."""
+    one pair for each text.  Pairs are decided on the whole sets; a cell whose pairs all held, or that
+    has no others, is done, and the rest are searched again without the pairs that failed, for
+    DEEPER times as many forests each time, until none is left."""
 
     def __init__(self, source: DataFrame, words: int, ratio: Fraction, radius: int, cell_rows: int):
         self.spark, self.source, self.words, self.ratio, self.radius = source.sparkSession, source, words, ratio, radius
@@ -659,12 +676,12 @@ class _NearCopies:
         rows = rows.repartition(shuffle_partitions(self.spark), "token", "pair")
         return rows.sortWithinPartitions("token", "pair", "size")
 
-    def search(self, rows: DataFrame, roots: DataFrame, failed: DataFrame) -> DataFrame:
-        """token, pair, a, b: the forests of all cells."""
+    def search(self, rows: DataFrame, roots: DataFrame, failed: DataFrame, depth: int) -> DataFrame:
+        """token, pair, a, b, more: the forests of all cells."""
         each = failed.union(failed.select("b", "a")).toDF("uid", "to").groupBy("uid").agg(F.collect_list("to").alias("failed"))
         cells = rows.join(roots, "uid", "left").withColumn("root", F.coalesce("root", "uid")).join(each, "uid", "left")
         cells = cells.select("token", "pair", "size", "part", "parts", "uid", "at", "root", "sketch", "failed")
-        found = self.in_cells(cells).mapInArrow(_forest(self.ratio), "token long, pair int, a long, b long")
+        found = self.in_cells(cells).mapInArrow(_forests(self.ratio, depth), "token long, pair int, a long, b long, more boolean")
         return written(found, "copy-forests")
 
     def links(self) -> DataFrame:
@@ -673,19 +690,19 @@ class _NearCopies:
         links = self.confirmed(self.tries(shared))
         roots = components(links).toDF("uid", "root")
         rows = self.unconnected(shared, roots)
-        failed = links.limit(0)
-        while not (forests := self.search(rows, roots, failed)).isEmpty():
+        failed, depth = links.limit(0), 1
+        while not (forests := self.search(rows, roots, failed, depth)).isEmpty():
             pairs = forests.select("a", "b").distinct()
             good = self.confirmed(pairs)
             bad = written(pairs.join(good, ["a", "b"], "left_anti"), "copy-failed")
             links = links.union(good)
-            if bad.isEmpty():
+            again = written(forests.where("more").join(bad, ["a", "b"]).select("token", "pair").distinct(), "copy-again")
+            if not (cells := again.count()):
                 break
-            failed = failed.union(bad)
-            roots = components(links).toDF("uid", "root")
-            again = written(forests.join(bad, ["a", "b"]).select("token", "pair").distinct(), "copy-again")
-            if again.count() <= AGAIN:
+            if cells <= AGAIN:
                 again = F.broadcast(again)
+            failed, depth = failed.union(bad), DEEPER * depth
+            roots = components(links).toDF("uid", "root")
             rows = written(rows.join(again, ["token", "pair"], "left_semi"), "copy-rows")
         return links
 

@@ -301,7 +301,7 @@ def _blocks(most: int, most_bytes: int):
 
 
 def blocks(conversations: DataFrame, most: int = BLOCK, most_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """conv_id, block (0.. in its conversation), last_role, roles, texts; a written table.
+    """conv_id, block (0.. in its conversation), last_role, roles, texts, over a written table.
 
     Rows are dealt out by range of (conversation, turn, role, text), so one conversation may lie in
     several tasks; only what each task has at its ends comes to the driver, a row for each task."""
@@ -475,7 +475,7 @@ def _decoded(tables: Tables):
 def recover(conversations: DataFrame, most: int = BLOCK, most_bytes: int = BLOCK_BYTES, branch: int = BRANCH) -> DataFrame:
     """Write each conversation as a raw transcript, parse it, render it: conv_id, block, style, n_turns
     (as written), n_parsed (as opened), n_right (turns recovered whole with their role), rendered, held_out."""
-    parts = written(blocks(conversations, most, most_bytes), "chat-parts")
+    parts = blocks(conversations, most, most_bytes)
     tables = train(parts)
     several = parts.where("block > 0").groupBy("conv_id").agg(F.max("block").alias("final"))
     several = written(several.withColumnRenamed("conv_id", "c"), "chat-several")
