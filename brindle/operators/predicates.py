@@ -39,9 +39,8 @@ def condition(ns: Namespace, name: str, value, lang: str | None = None) -> Colum
     if f.type == "literal":
         return _literals(f, values)
     if f.type == "text":
-        return all_of([alternatives([f], v) for v in values[:1]]) if len(values) == 1 else any_of(
-            [t for t in (alternatives([f], v) for v in values) if t is not None]
-        )
+        found = [alternatives([f], v, lang) for v in values]
+        return None if any(t is None for t in found) else any_of(found)
     one = {"boolean": _boolean, "geo": _geo}.get(f.type, _range)
     tests = [one(ns, f, v) for v in values]
     return None if any(t is None for t in tests) else any_of(tests)

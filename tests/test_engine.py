@@ -114,6 +114,9 @@ def ids(cars, query, **more):
         ({"$text": "f-150|ecole"}, "12"),
         ({"$text": "the"}, "12345"),
         ({"notes": "dogs"}, "12"),
+        ({"notes": ["dogs", "cats"]}, "125"),
+        ({"notes": ["the", "of"]}, "12345"),
+        ({"notes": ["the", "dogs"]}, "12345"),
         ({"$or": [{"make": "fjord"}, {"price": 0}]}, "14"),
         ({"$or": {"make": "fjord", "price": 0}}, "14"),
         ({"make": "ford", "$or": [{"price": -5}, {"active": True}]}, "235"),
