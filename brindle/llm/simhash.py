@@ -47,9 +47,11 @@ AT_BITS, CELL_SHIFT = 32, 33
 COMMON_SAMPLE, COMMON_MOST = 1 << 13, 1 << 18
 #: Logarithms of the least and most parity bits kept of a text, and pairs compared at once.
 LEAST_BITS, MOST_BITS = 9, 16
+#: Bytes of a sketch at its coarsest.
+COARSE = 1 << LEAST_BITS - 3
 PAIRS = 1 << 18
-#: Cells to search again that are broadcast.
-AGAIN = 1 << 18
+#: Cells to search again, and texts to look up, that are broadcast.
+FEW = 1 << 18
 #: Each round of search gives out so many times more forests of a cell than the one before.
 DEEPER = 16
 
@@ -369,8 +371,8 @@ def parities_apart(sketches: list[bytes], a: np.ndarray, b: np.ndarray) -> np.nd
 
 
 def _prefixes(words: int, ratio: Fraction, common: tuple[np.ndarray, np.ndarray], cell_rows: int):
-    """What is kept of each text: the size of its shingle set, its SimHash, parities, the shingles
-    of its prefix, and for each into how many cells the shingle's texts are dealt."""
+    """What is kept of each text: the size of its shingle set, its SimHash, parities whole and
+    folded, the shingles of its prefix, and for each into how many cells the shingle's texts are dealt."""
     known, often = common
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -396,6 +398,7 @@ def _prefixes(words: int, ratio: Fraction, common: tuple[np.ndarray, np.ndarray]
             cells = (rank[taken] // cell_rows + 1).astype(np.int32)
             lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (values[taken].view(np.int64), cells)]
             prints = vote(values[np.argsort(doc, kind="stable")], full)
+            coarse = [folded(x, COARSE).tobytes() for x in sketches]
             yield pa.record_batch(
                 [
                     batch.column(0),
@@ -403,9 +406,10 @@ def _prefixes(words: int, ratio: Fraction, common: tuple[np.ndarray, np.ndarray]
                     pa.array(sizes.astype(np.int64)),
                     pa.array(prints.view(np.int64)),
                     pa.array(sketches, pa.binary()),
+                    pa.array(coarse, pa.binary()),
                     *lists,
                 ],
-                names=["uid", "doc_id", "size", "fp", "sketch", "tokens", "cells"],
+                names=["uid", "doc_id", "size", "fp", "sketch", "coarse", "tokens", "cells"],
             )
 
     return run
@@ -441,17 +445,15 @@ def _centred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _close(ratio: Fraction):
-    """Rows a, b, their sizes and sketches -> the pairs that may be similar enough."""
+    """Rows a, b, their sizes (alike enough) and sketches -> the pairs that may be similar enough."""
     n, d = ratio.numerator, ratio.denominator
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             one, two = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-            m = batch.num_rows
-            may = d * np.minimum(one, two) >= n * np.maximum(one, two)
+            rows = np.arange(batch.num_rows)
             sketches = batch.column(4).to_pylist() + batch.column(5).to_pylist()
-            some = np.flatnonzero(may)
-            may[some] = (n + d) * parities_apart(sketches, some, some + m) <= (d - n) * (one + two)[some]
+            may = (n + d) * parities_apart(sketches, rows, rows + batch.num_rows) <= (d - n) * (one + two)
             yield pa.record_batch([batch.column(i).filter(pa.array(may)) for i in (0, 1)], names=["a", "b"])
 
     return run
@@ -500,15 +502,24 @@ def _possible_pairs(cells: pa.Table, ratio: Fraction) -> Iterator[tuple[np.ndarr
         yield i[may], j[may]
 
 
+def _coarsely_close(bits: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray, ratio: Fraction) -> np.ndarray:
+    """Whether the pairs may be similar enough by their folded parities (rows of bits)."""
+    n, d = ratio.numerator, ratio.denominator
+    return (n + d) * np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64) <= (d - n) * (size[i] + size[j])
+
+
 def _partnered(ratio: Fraction):
-    """Rows PLACE in order of token, pair and size -> those with a possible partner in their cell."""
+    """Rows PLACE and coarse in order of token, pair and size -> PLACE of those with a possible
+    partner in their cell by size, position and folded parities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cells in _whole_cells(batches):
-            some = np.zeros(cells.num_rows, bool)
+            some, size = np.zeros(cells.num_rows, bool), cells.column(2).to_numpy()
+            bits = np.frombuffer(b"".join(cells.column(8).to_pylist()), np.uint64).reshape(-1, COARSE // 8)
             for i, j in _possible_pairs(cells, ratio):
-                some[i] = some[j] = True
-            yield from cells.filter(pa.array(some)).to_batches()
+                may = _coarsely_close(bits, size, i, j, ratio)
+                some[i[may]] = some[j[may]] = True
+            yield from cells.select(range(8)).filter(pa.array(some)).to_batches()
 
     return run
 
@@ -545,12 +556,12 @@ def _forests(ratio: Fraction, depth: int):
                     return True
             return False
 
-        bits = np.stack([folded(x, 1 << LEAST_BITS - 3) for x in sketches])
+        bits = np.stack([folded(x, COARSE) for x in sketches])
         out, beyond = [], set()
         for i, j in _possible_pairs(cells, ratio):
+            may = _coarsely_close(bits, size, i, j, ratio)
+            i, j = i[may], j[may]
             most = (d - n) * (size[i] + size[j])
-            may = (n + d) * np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64) <= most
-            i, j, most = i[may], j[may], most[may]
             apart = (n + d) * parities_apart(sketches, i, j)
             may = apart <= most
             i, j, share = i[may], j[may], apart[may] / np.maximum(most[may], 1)
@@ -606,7 +617,7 @@ class _NearCopies:
     def __init__(self, source: DataFrame, words: int, ratio: Fraction, radius: int, cell_rows: int):
         self.spark, self.source, self.words, self.ratio, self.radius = source.sparkSession, source, words, ratio, radius
         self.cell_rows = cell_rows
-        shape = "uid long, doc_id long, size long, fp long, sketch binary, tokens array<long>, cells array<int>"
+        shape = "uid long, doc_id long, size long, fp long, sketch binary, coarse binary, tokens array<long>, cells array<int>"
         found = source.mapInArrow(_prefixes(words, ratio, _common(source, words), cell_rows), shape)
         self.prints = written(found, "copy-prints")
 
@@ -642,10 +653,14 @@ class _NearCopies:
         near = shard_edges(distinct.select("fp", F.col("first").alias("node")), self.radius, reduce=first_neighbours)
         found = found.union(near.toDF("uid", "to"))
         ends = found.where("uid <> to").select(F.least("uid", "to").alias("a"), F.greatest("uid", "to").alias("b")).distinct()
-        one, two = (
-            self.prints.select(F.col("uid").alias(x), F.col("size").alias(f"size_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab"
-        )
-        joined = ends.join(one, "a").join(two, "b").select("a", "b", "size_a", "size_b", "sketch_a", "sketch_b")
+        n, d = self.ratio.numerator, self.ratio.denominator
+        one, two = (self.prints.select(F.col("uid").alias(x), F.col("size").alias(f"size_{x}")) for x in "ab")
+        sized = ends.join(one, "a").join(two, "b")
+        alike = F.least("size_a", "size_b") * F.lit(d) >= F.greatest("size_a", "size_b") * F.lit(n)
+        sized = written(sized.where(alike), "copy-tries")
+        known = self.sketches(sized.select(F.explode(F.array("a", "b")).alias("uid")))
+        one, two = (known.select(F.col("uid").alias(x), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
+        joined = sized.join(one, "a").join(two, "b").select("a", "b", "size_a", "size_b", "sketch_a", "sketch_b")
         return joined.mapInArrow(_close(self.ratio), "a long, b long")
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
@@ -663,14 +678,21 @@ class _NearCopies:
         mixed = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n"))
         mixed = mixed.where("low <> high").select("token", "n", F.ceil(F.col("n") / self.cell_rows).cast("int").alias("parts"))
         rows = spread_join(placed, written(mixed, "copy-mixed"), ["token"], "n", ["uid"], "inner")
-        rows = rows.join(self.prints.select("uid", "size"), "uid")
+        rows = rows.join(self.prints.select("uid", "size", "coarse"), "uid")
         rows = rows.withColumn("part", F.pmod(F.xxhash64("uid"), F.col("parts")).cast("int"))
         # texts of a shingle are cut into parts, every two of which meet in a cell of their own
         meet = "transform(sequence(0, parts - 1), q -> least(part, q) * parts + greatest(part, q))"
         rows = rows.withColumn("pair", F.explode(F.expr(meet)))
-        cells = self.in_cells(rows.select("token", "pair", "size", "part", "parts", "uid", "at", "root"))
-        rows = cells.mapInArrow(_partnered(self.ratio), PLACE).drop("root")
-        return written(rows.join(self.prints.select("uid", "sketch"), "uid"), "copy-rows")
+        cells = self.in_cells(rows.select("token", "pair", "size", "part", "parts", "uid", "at", "root", "coarse"))
+        rows = written(cells.mapInArrow(_partnered(self.ratio), PLACE).drop("root"), "copy-places")
+        return written(rows.join(self.sketches(rows.select("uid")), "uid"), "copy-rows")
+
+    def sketches(self, wanted: DataFrame) -> DataFrame:
+        """uid, sketch of the wanted rows; while these are few, the others' sketches aren't dealt out."""
+        wanted = written(wanted.distinct(), "copy-wanted")
+        if wanted.count() <= FEW:
+            wanted = F.broadcast(wanted)
+        return self.prints.join(wanted, "uid", "left_semi").select("uid", "sketch")
 
     def in_cells(self, rows: DataFrame) -> DataFrame:
         rows = rows.repartition(shuffle_partitions(self.spark), "token", "pair")
@@ -684,8 +706,8 @@ class _NearCopies:
         found = self.in_cells(cells).mapInArrow(_forests(self.ratio, depth), "token long, pair int, a long, b long, more boolean")
         return written(found, "copy-forests")
 
-    def links(self) -> DataFrame:
-        """Pairs (a, b) that connect all similar texts."""
+    def roots(self) -> DataFrame:
+        """uid, root of all rows that are linked, but for the roots themselves."""
         shared = self.shared()
         links = self.confirmed(self.tries(shared))
         roots = components(links).toDF("uid", "root")
@@ -695,20 +717,20 @@ class _NearCopies:
             pairs = forests.select("a", "b").distinct()
             good = self.confirmed(pairs)
             bad = written(pairs.join(good, ["a", "b"], "left_anti"), "copy-failed")
-            links = links.union(good)
+            if not good.isEmpty():  # the roots so far are links, too
+                roots = components(roots.toDF("a", "b").union(good)).toDF("uid", "root")
             again = written(forests.where("more").join(bad, ["a", "b"]).select("token", "pair").distinct(), "copy-again")
             if not (cells := again.count()):
                 break
-            if cells <= AGAIN:
+            if cells <= FEW:
                 again = F.broadcast(again)
             failed, depth = failed.union(bad), DEEPER * depth
-            roots = components(links).toDF("uid", "root")
             rows = written(rows.join(again, ["token", "pair"], "left_semi"), "copy-rows")
-        return links
+        return roots
 
     def dropped(self) -> DataFrame:
         """uid of the rows that have a linked row with a smaller id."""
-        roots = components(self.links()).toDF("uid", "root")
+        roots = self.roots()
         linked = roots.union(roots.select(F.col("root").alias("uid"), "root").distinct())
         placed = written(self.prints.select("uid", "doc_id").join(linked, "uid"), "copy-placed")
         me = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")
