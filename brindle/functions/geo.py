@@ -43,6 +43,45 @@ def box(lat: Column, lon: Column, origin: tuple[float, float], metres: float) ->
     return test & (lon >= west) & (lon <= east)
 
 
+#: The bits that stay when the bits of a number are spread out by 16, 8, 4, 2 and 1.
+SPREAD = (
+    (16, 0x0000FFFF0000FFFF),
+    (8, 0x00FF00FF00FF00FF),
+    (4, 0x0F0F0F0F0F0F0F0F),
+    (2, 0x3333333333333333),
+    (1, 0x5555555555555555),
+)
+
+
+def _spread(v: Column) -> Column:
+    """The lower 32 bits at the even places."""
+    for shift, mask in SPREAD:
+        v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask))
+    return v
+
+
+def _gathered(v: Column) -> Column:
+    """The bits at the even places as a number."""
+    v = v.bitwiseAND(F.lit(SPREAD[-1][1]))
+    masks = [mask for _, mask in SPREAD[-2::-1]] + [0x00000000FFFFFFFF]
+    for (shift, _), mask in zip(SPREAD[::-1], masks):
+        v = v.bitwiseOR(F.shiftrightunsigned(v, shift)).bitwiseAND(F.lit(mask))
+    return v
+
+
+def cell_place(code: Column) -> tuple[Column, Column]:
+    """Row (of latitude) and column (of longitude) of a cell."""
+    return _gathered(code), _gathered(F.shiftrightunsigned(code, 1))
+
+
+def cell_centre(code: Column, steps: int = 31) -> Column:
+    """The point, struct lat and lon, in the middle of a cell."""
+    row, column = cell_place(code)
+    size = float(1 << steps)
+    lat = (row + 0.5) / size * (2 * CELL_LATITUDE) - CELL_LATITUDE
+    return F.struct(lat.alias("lat"), ((column + 0.5) / size * 360.0 - 180.0).alias("lon"))
+
+
 def cell(lat: Column, lon: Column, steps: int = 31) -> Column:
     """Interleaved bits of latitude and longitude: a clustering key in which near points are near.
     Points beyond the cells' latitude have cell 0."""
@@ -50,16 +89,5 @@ def cell(lat: Column, lon: Column, steps: int = 31) -> Column:
     x = F.floor((lat + CELL_LATITUDE) / (2 * CELL_LATITUDE) * size).cast("long")
     y = F.floor((lon + 180.0) / 360.0 * size).cast("long")
 
-    def spread(v: Column) -> Column:
-        for shift, mask in (
-            (16, 0x0000FFFF0000FFFF),
-            (8, 0x00FF00FF00FF00FF),
-            (4, 0x0F0F0F0F0F0F0F0F),
-            (2, 0x3333333333333333),
-            (1, 0x5555555555555555),
-        ):
-            v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask))
-        return v
-
-    code = spread(x).bitwiseOR(F.shiftleft(spread(y), 1))
+    code = _spread(x).bitwiseOR(F.shiftleft(_spread(y), 1))
     return F.when(F.abs(lat) <= CELL_LATITUDE, code).otherwise(F.lit(0).cast("long"))

@@ -7,7 +7,9 @@ import unicodedata
 from collections.abc import Iterator
 from functools import cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,7 +17,8 @@ from pyspark.sql import functions as F
 PUNCTUATION = "&/\\#,+()$~%.!^'\";:?[]<>{}"
 #: Letters of Latin-1 and Latin Extended-A that lose a mark; sharp s stays.
 _CODES = [*range(0xC0, 0x180)]
-WHITE = r"[\s   -     　﻿]"
+#: White space that separates words.
+WHITE = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 
 
 def _bare(letter: str) -> str:
@@ -35,7 +38,9 @@ def _class(chars: str) -> str:
 def normalised(text: Column, wild: bool = False) -> Column:
     """Without punctuation and marks, in lower case; wild keeps '*'."""
     chars = PUNCTUATION if wild else PUNCTUATION + "*"
-    return F.translate(F.lower(F.regexp_replace(text, _class(chars), "")), MARKED, UNMARKED)
+    bare = F.lower(F.regexp_replace(text, _class(chars), ""))
+    # translating is a dear step, and an ASCII text has no marks
+    return F.when(F.octet_length(text) == F.length(text), bare).otherwise(F.translate(bare, MARKED, UNMARKED))
 
 
 _DROP = {ord(c): None for c in PUNCTUATION}
@@ -50,7 +55,7 @@ def normalise(text: str, wild: bool = False) -> str:
 
 def tokens(text: Column, stop: tuple[str, ...] = ()) -> Column:
     """Normalised words in order, repeats included; null for null."""
-    words = F.filter(F.split(normalised(text), WHITE), lambda t: t != "")
+    words = F.array_remove(F.split(normalised(text), WHITE), "")
     return F.filter(words, lambda t: ~t.isin(*stop)) if stop else words
 
 
@@ -195,21 +200,21 @@ def stems(words: Column, lang: str = "en") -> Column:
     if rule is None:
         return words
 
-    @F.pandas_udf("array<string>")
-    def stemmed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<string>")
+    def stemmed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known: dict[str, str] = {}
         for batch in batches:
-            out = []
-            for own in batch:
-                if own is None:
-                    out.append(None)
-                    continue
-                for w in own:
-                    if w not in known:
-                        known[w] = rule(w)
-                out.append([known[w] for w in own])
+            # each distinct word of a batch is stemmed once; lists are put together again by position
+            coded = batch.flatten().dictionary_encode()
+            distinct = coded.dictionary.to_pylist()
+            for w in distinct:
+                if w not in known:
+                    known[w] = rule(w)
+            found = pa.array([known[w] for w in distinct], pa.string()).take(coded.indices)
+            sizes = pc.fill_null(pc.list_value_length(batch), 0).to_numpy(zero_copy_only=False)
+            ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+            yield pa.ListArray.from_arrays(ends, found, mask=batch.is_null())
             if len(known) > 1 << 18:
                 known.clear()
-            yield pd.Series(out)
 
     return stemmed(words)

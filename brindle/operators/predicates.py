@@ -159,32 +159,42 @@ def _geo(ns: Namespace, f: FieldDef, value) -> Column:
 
 
 def alternatives(fields: list[FieldDef], query: str, lang: str | None = None) -> Column | None:
-    """Text search: alternatives are parted by ' or ' or '|'; all words of one must be in one field."""
+    """Text search: alternatives are parted by ' or ' or '|'; all words of one must be in one field.
+
+    A field's words are bound once for all of its tests: where they aren't stored, but made from the
+    text as it is read, Catalyst would otherwise repeat their making for every test of a filter."""
     import re
 
     tests = []
-    for part in re.split(r"\s+or\s+|\|", str(query).lower()):
+    parts = re.split(r"\s+or\s+|\|", str(query).lower())
+    for f in fields:
+        language = lang or f.lang
+        stop = set(text.stop_words(language)) if f.stop else set()
         own = []
-        for f in fields:
-            language = lang or f.lang
-            stop = set(text.stop_words(language)) if f.stop else set()
+        for part in parts:
             found = [t for t in text.tokenise(part) if text.normalise(t) not in stop]
             hits = [h for h in (_word(f, t, language) for t in found) if h is not None]
             if hits:
-                own.append(reduce(and_, hits))
+                own.append(hits)
         if own:
-            tests.append(any_of(own))
+            tests.append(_bound_once(words(f.name), own))
     return any_of(tests) if tests else None
 
 
-def _word(f: FieldDef, token: str, lang: str) -> Column | None:
-    column = words(f.name)
+def _bound_once(column: str, parts: list[list[Callable[[Column], Column]]]) -> Column:
+    """Any of the parts, of which all tests hold, of one value of a column."""
+    return F.exists(F.array(column), lambda own: any_of([reduce(and_, [test(own) for test in hits]) for hits in parts]))
+
+
+def _word(f: FieldDef, token: str, lang: str) -> Callable[[Column], Column] | None:
+    """A test of an array of words."""
     bare = text.normalise(token)
     if token == "*" and f.prefix:
-        return F.size(column) > 0
+        return lambda own: F.size(own) > 0
     if not bare:
         return None
     head, tail = token.endswith("*") and f.prefix, token.startswith("*") and f.suffix
     if head or tail:
-        return F.exists(column, _affix(bare, head, tail))
-    return F.array_contains(column, text.STEMMERS.get(lang, lambda w: w)(bare) if f.stem else bare)
+        return lambda own: F.exists(own, _affix(bare, head, tail))
+    word = text.STEMMERS.get(lang, lambda w: w)(bare) if f.stem else bare
+    return lambda own: F.array_contains(own, word)

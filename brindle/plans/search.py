@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from dataclasses import dataclass
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import facets, paging
@@ -44,15 +44,14 @@ class Search:
     def items(self) -> DataFrame | None:
         """The page as JSON strings: documents as they were added, or their ids."""
         rows = self.page()
-        if rows is None:
-            return None
+        return None if rows is None else rows.select(self._item(rows).alias("item"))
+
+    def _item(self, rows: DataFrame) -> Column:
         if self.request.get("idsOnly"):
-            item = F.to_json(F.struct(F.col("id").cast("string").alias("id")))
-        elif "_raw" in rows.columns:
-            item = F.col("_raw")
-        else:
-            item = F.to_json(F.struct(*[c for c in rows.columns if not c.startswith("_") and "__" not in c]))
-        return rows.select(item.alias("item"))
+            return F.to_json(F.struct(F.col("id").cast("string").alias("id")))
+        if "_raw" in rows.columns:
+            return F.col("_raw")
+        return F.to_json(F.struct(*[c for c in rows.columns if not c.startswith("_") and "__" not in c]))
 
     def facets(self) -> DataFrame | None:
         told = self.request.get("facets") or {}
@@ -82,11 +81,11 @@ class Search:
             items, exprs = [], {}
             if rows is not None:
                 names = list(paging.expressions(self.ns, told.get("expr")))
-                page = rows.collect()
+                page = rows.select(plan._item(rows).alias("_item"), *names).collect()
                 for r in page:
                     for n in names:
                         exprs.setdefault(n, []).append(r[n])
-                items = [r["item"] for r in plan.items().collect()] if page else []
+                items = [r["_item"] for r in page]
             found = plan.facets() if total else None
             shown: dict[str, list] = {}
             if found is not None:

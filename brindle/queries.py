@@ -571,19 +571,20 @@ def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return versions.latest(rows, "user_id", F.col("event_id"))
 
 
-HALF = "(select *, row_number() over (partition by user_id order by event_id desc) as n from events where event_id {} 5000)"
+RANKED = "(select *, row_number() over (partition by user_id order by event_id desc) as n from events)"
 
 
 @query(
     f"""select user_id, array_to_string(list_filter([case when o.event_type is distinct from n.event_type then 'event_type' end,
         case when o.value is distinct from n.value then 'value' end], lambda x: x is not null), ',') as changed
-        from {HALF.format('<')} o join {HALF.format('>=')} n using (user_id) where o.n = 1 and n.n = 1
+        from {RANKED} o join {RANKED} n using (user_id) where o.n = 2 and n.n = 1
         and (o.event_type is distinct from n.event_type or o.value is distinct from n.value)"""
 )
 def changed_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's last event against the one before it."""
     rows = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value")
-    old = versions.latest(rows.where("event_id < 5000"), "user_id", F.col("event_id"))
-    new = versions.latest(rows.where("event_id >= 5000"), "user_id", F.col("event_id"))
+    new = versions.latest(rows, "user_id", F.col("event_id"))
+    old = versions.latest(sets.without(rows, new, "event_id"), "user_id", F.col("event_id"))
     found = versions.changed_fields(old, new, "user_id", ["event_type", "value"])
     return found.select("user_id", F.array_join("changed", ",").alias("changed"))
 
@@ -598,6 +599,5 @@ def expire_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def geo_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The clustering cell of each customer at five steps, taken apart into row and column."""
     code = geo.cell(F.col("coords.lat"), F.col("coords.lon"), 5)
-    bits = [F.shiftrightunsigned(code, 2 * i + k).bitwiseAND(F.lit(1)) * (1 << i) for k in (0, 1) for i in range(5)]
-    row, col = sum(bits[1:5], bits[0]), sum(bits[6:], bits[5])
+    row, col = geo.cell_place(code)
     return docs(spark, sf_dir, "customer").select("c_custkey", row.alias("row"), col.alias("col"))

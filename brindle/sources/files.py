@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -41,6 +42,23 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         raise OSError(f"could not rename {part} to {p}")
 
 
+def create_text(spark: SparkSession, path: str, text: str) -> bool:
+    """Make a file that must not exist; False if it does.  As exclusive as the file system's own
+    creation is: on HDFS of several writers one succeeds."""
+    fs, p = _path(spark, path)
+    try:
+        out = fs.create(p, False)
+    except Py4JJavaError:
+        if fs.exists(p):
+            return False
+        raise
+    try:
+        out.write(text.encode())
+    finally:
+        out.close()
+    return True
+
+
 def read_text(spark: SparkSession, path: str) -> str:
     fs, p = _path(spark, path)
     stream = fs.open(p)

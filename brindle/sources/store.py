@@ -1,25 +1,37 @@
-"""Document store: Parquet snapshots of a namespace, the current one named by a pointer file.
+"""Document store: Parquet snapshots of a namespace, named by a log of versions.
 
-A write reads the current snapshot, writes the next one, and swaps the pointer, so readers always
-see a whole version and a failed write leaves nothing but an unreferenced folder.
+A write reads the current snapshot, writes the next one to a folder of its own, and commits by
+creating the next entry of the log, which names that folder.  Readers always see a whole version; a
+failed write leaves nothing but an unreferenced folder.  Of two writers that start from one version
+one finds the entry taken, and works its change out again on the version that the other committed,
+so no write is lost (where the file system creates files exclusively, as HDFS does).
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable, Mapping
+import time
+import uuid
+from collections.abc import Callable, Iterable, Mapping
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.versions import latest_by_window, unexpired
+from ..operators.sets import without
+from ..operators.versions import changed_fields, latest, unexpired
 from ..plans.search import search
 from . import files
 from .indexing import indexed, read_json
 from .namespace import Namespace, Registry, SchemaError
 
 SEQ = "_seq"
+#: Times that a write is worked out again when others commit first; seconds that an entry may take.
+ATTEMPTS, PATIENCE = 20, 10.0
+
+
+class WriteConflict(RuntimeError):
+    """Other writers committed first every time."""
 
 
 class Collection:
@@ -30,29 +42,59 @@ class Collection:
         self.path = f"{root.rstrip('/')}/{ns.name}"
 
     # --- snapshots
-    def _pointer(self) -> str:
-        return f"{self.path}/_current"
+    def _entry(self, version: int) -> str:
+        return f"{self.path}/_log/{version:012d}"
+
+    def _entries(self) -> list[int]:
+        return [int(n) for n in files.names(self.spark, f"{self.path}/_log") if n.isdigit()]
+
+    def _folder(self, version: int) -> str | None:
+        """The folder of a version; None if its writer died between making and filling the entry."""
+        until = time.monotonic() + PATIENCE
+        while not (found := files.read_text(self.spark, self._entry(version))) and time.monotonic() < until:
+            time.sleep(0.2)
+        return found or None
+
+    def _current(self) -> tuple[int, str | None, int]:
+        """The current version and its folder, 0 and None if there is none, and the next version."""
+        entries = self._entries()
+        following = max(entries, default=0) + 1
+        for version in sorted(entries, reverse=True):
+            if folder := self._folder(version):
+                return version, folder, following
+        return 0, None, following
 
     def version(self) -> int:
         """The current snapshot's number, 0 if there is none."""
-        return int(files.read_text(self.spark, self._pointer())) if files.exists(self.spark, self._pointer()) else 0
+        return self._current()[0]
 
     def raw(self) -> DataFrame | None:
         """_seq, id, _raw of the current snapshot, with typed and shadow columns."""
-        at = self.version()
-        return self.spark.read.parquet(f"{self.path}/v{at}") if at else None
-
-    def _swap(self, df: DataFrame) -> int:
-        at = self.version() + 1
-        df.write.mode("overwrite").parquet(f"{self.path}/v{at}")
-        files.write_text(self.spark, self._pointer(), str(at))
-        return at
+        return self._snapshot(self._current()[1])
+
+    def _snapshot(self, folder: str | None) -> DataFrame | None:
+        return self.spark.read.parquet(f"{self.path}/{folder}") if folder else None
+
+    def _commit(self, change: Callable[[DataFrame | None], DataFrame | None]) -> int:
+        """Replace the current snapshot by change(snapshot), None for no change; returns the
+        current version."""
+        for _ in range(ATTEMPTS):
+            at, folder, following = self._current()
+            rows = change(self._snapshot(folder))
+            if rows is None:
+                return at
+            made = f"v{following}-{uuid.uuid4().hex}"
+            rows.write.parquet(f"{self.path}/{made}")
+            if files.create_text(self.spark, self._entry(following), made):
+                return following
+            files.delete(self.spark, f"{self.path}/{made}")
+        raise WriteConflict(self.ns.name)
 
     def vacuum(self) -> None:
-        """Delete all snapshots but the current one."""
-        at = self.version()
+        """Delete the snapshots before the current one; those that writers may be making stay."""
+        at, folder, _ = self._current()
         for name in files.names(self.spark, self.path):
-            if name.startswith("v") and name != f"v{at}":
+            if name.startswith("v") and name != folder and int(name[1:].split("-")[0]) <= at:
                 files.delete(self.spark, f"{self.path}/{name}")
 
     # --- writing
@@ -66,18 +108,25 @@ class Collection:
         return self.upsert(indexed(rows, self.ns))
 
     def upsert(self, rows: DataFrame) -> int:
-        """Upsert indexed rows (id, _at and the indexed columns)."""
-        batch = latest_by_window(rows, "id", F.col("_at"))
-        old = self.raw()
-        if old is None:
-            return self._swap(batch.withColumnRenamed("_at", SEQ))
-        most = old.agg(F.max(SEQ)).first()[0]
-        base = -1 if most is None else most
-        placed = batch.join(old.select("id", SEQ), "id", "left").withColumn(
-            SEQ, F.coalesce(SEQ, F.col("_at") + F.lit(base + 1))
-        )
-        rest = old.join(batch.select("id"), "id", "left_anti")
-        return self._swap(rest.unionByName(placed.drop("_at"), allowMissingColumns=True))
+        """Upsert indexed rows (id, _at and the indexed columns).  If every document is stored already
+        as it is, and with the same columns, nothing is written."""
+        batch = latest(rows, "id", F.col("_at"))
+
+        def change(old: DataFrame | None) -> DataFrame | None:
+            if old is None:
+                return batch.withColumnRenamed("_at", SEQ)
+            if {*old.columns} - {SEQ} == {*batch.columns} - {"_at"}:
+                new = without(batch, old, "id").select("id")
+                if new.union(changed_fields(old, batch, "id", ["_raw"]).select("id")).isEmpty():
+                    return None
+            most = old.agg(F.max(SEQ)).first()[0]
+            base = -1 if most is None else most
+            placed = batch.join(old.select("id", SEQ), "id", "left").withColumn(
+                SEQ, F.coalesce(SEQ, F.col("_at") + F.lit(base + 1))
+            )
+            return without(old, batch, "id").unionByName(placed.drop("_at"), allowMissingColumns=True)
+
+        return self._commit(change)
 
     def add_documents(self, docs: Iterable[Mapping]) -> int:
         """Upsert a small batch of dictionaries."""
@@ -86,11 +135,14 @@ class Collection:
 
     def reindex(self) -> int:
         """Derive every column again from the stored JSON."""
-        old = self.raw()
-        if old is None:
-            return 0
-        rows = read_json(old.select(F.col("_raw").alias("value")), self.ns).join(old.select("id", SEQ), "id")
-        return self._swap(indexed(rows, self.ns))
+
+        def change(old: DataFrame | None) -> DataFrame | None:
+            if old is None:
+                return None
+            rows = read_json(old.select(F.col("_raw").alias("value")), self.ns).join(old.select("id", SEQ), "id")
+            return indexed(rows, self.ns)
+
+        return self._commit(change)
 
     def delete(self, ids: Iterable) -> int:
         """Delete by id: strings, numbers, or objects with an id.  Returns the new version."""
@@ -98,15 +150,17 @@ class Collection:
         return self.delete_rows(self.spark.createDataFrame([(x,) for x in wanted], "id string"))
 
     def delete_rows(self, ids: DataFrame) -> int:
-        old = self.raw()
-        return self._swap(old.join(ids.select("id"), "id", "left_anti")) if old is not None else 0
+        return self._commit(lambda old: without(old, ids, "id") if old is not None else None)
 
     def expire(self, now: datetime | None = None) -> int:
         """Drop documents whose expiration field is not after now."""
-        old = self.raw()
-        if old is None or not self.ns.expiration:
-            return self.version()
-        return self._swap(unexpired(old, self.ns.expiration, self._now(now)))
+
+        def change(old: DataFrame | None) -> DataFrame | None:
+            kept = unexpired(old, self.ns.expiration, self._now(now)) if old is not None and self.ns.expiration else None
+            gone = kept is not None and not old.where(F.col(self.ns.expiration) <= F.lit(self._now(now))).isEmpty()
+            return kept if gone else None
+
+        return self._commit(change)
 
     def _now(self, now: datetime | None) -> int:
         return int((now or datetime.now(UTC)).timestamp())

@@ -6,6 +6,7 @@ from datetime import UTC, datetime
 import pytest
 
 from brindle.plans.search import Search
+from brindle.sources import files, store
 from brindle.sources.namespace import Namespace, SchemaError
 from brindle.sources.store import Engine, read_json_lines, read_table, write_documents
 from brindle.streaming.upserts import delete_stream, purge, upsert_stream
@@ -227,6 +228,44 @@ def test_documents(spark, tmp_path):
         engine.use_namespace("auctions")
 
 
+def test_writers_at_once(spark, tmp_path):
+    engine = Engine(spark, f"file://{tmp_path}")
+    one = engine.create_namespace(CONFIG)
+    two = engine.use_namespace("auctions")
+    assert one.add_documents([{"id": "1", "make": "Kia"}]) == 1
+    began = []
+
+    def slowly(old):
+        began.append(two.version())
+        if len(began) == 1:  # another writer commits between this one's reading and its commit
+            two.add_documents([{"id": "2", "make": "Seat"}])
+        return old.where("id <> '1'")
+
+    assert one._commit(slowly) == 3 and began == [1, 2]
+    assert [r["id"] for r in one.raw().collect()] == ["2"]
+    one.vacuum()
+    assert [r["id"] for r in two.raw().collect()] == ["2"]
+    assert len([p for p in (tmp_path / "auctions").iterdir() if p.name.startswith("v")]) == 1
+
+
+def test_dead_writer(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "PATIENCE", 0.5)
+    collection = Engine(spark, f"file://{tmp_path}").create_namespace(CONFIG)
+    collection.add_documents([{"id": "1", "make": "Kia"}])
+    assert files.create_text(spark, collection._entry(2), "")  # died before it named its folder
+    assert collection.version() == 1 and collection.get("1")["make"] == "Kia"
+    assert collection.add_documents([{"id": "2", "make": "Seat"}]) == 3
+    assert collection.raw().count() == 2
+
+
+def test_unchanged_documents_are_not_written(spark, tmp_path):
+    collection = Engine(spark, f"file://{tmp_path}").create_namespace(CONFIG)
+    assert collection.add_documents(DOCS) == 1 and collection.add_documents(DOCS[:2]) == 1
+    assert collection.add_documents([DOCS[0], {"id": "1", "make": "other"}]) == 2
+    assert collection.delete(["1"]) == 3 and collection.add_documents(DOCS[:1]) == 4
+    assert collection.expire(NOW) == collection.expire(NOW)
+
+
 def test_messages(spark, tmp_path):
     engine = Engine(spark, f"file://{tmp_path}")
     assert engine.handle({"action": "createNamespace", "input": CONFIG})["name"] == "auctions"

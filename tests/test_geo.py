@@ -38,3 +38,17 @@ def test_cells_interleave(spark):
     df = spark.createDataFrame([(0.0, 0.0), (86.0, 0.0), (-85.0, -180.0)], "lat double, lon double")
     got = [r[0] for r in df.select(geo.cell(F.col("lat"), F.col("lon"), 1)).collect()]
     assert got == [3, 0, 0]
+
+
+def test_cells_decode(spark):
+    points = [(0.0, 0.0), (40.7, -74.0), (-85.0, 179.99), (85.0, -180.0), (-33.9, 151.2)]
+    df = spark.createDataFrame(points, "lat double, lon double")
+    for steps in (1, 5, 16, 31):
+        code = geo.cell(F.col("lat"), F.col("lon"), steps)
+        row, column = geo.cell_place(code)
+        centre = geo.cell_centre(code, steps)
+        high, wide = 2 * geo.CELL_LATITUDE / 2**steps, 360 / 2**steps
+        for r in df.select("lat", "lon", row.alias("row"), column.alias("column"), centre.alias("c"), code.alias("code")).collect():
+            assert abs(r.c.lat - r.lat) <= high / 2 + 1e-9 and abs(r.c.lon - r.lon) <= wide / 2 + 1e-9
+            # bits of row and column in turn, as plain arithmetic has them
+            assert r.code == sum(((r.row >> i & 1) << 2 * i) + ((r.column >> i & 1) << 2 * i + 1) for i in range(steps))

@@ -47,3 +47,13 @@ def test_stem_never_fails(word):
 def test_stems_column(spark):
     df = spark.createDataFrame([(["running", "dogs"],), (None,)], "w array<string>")
     assert [r[0] for r in df.select(text.stems(F.col("w"))).collect()] == [["run", "dog"], None]
+    df = spark.createDataFrame([(["dogs", None, "dogs"],), ([],), (None,), (["ties"],)], "w array<string>")
+    assert [r[0] for r in df.select(text.stems(F.col("w"))).collect()] == [["dog", None, "dog"], [], None, ["tie"]]
+
+
+def test_marks_go_from_any_text(spark):
+    rows = ["Plain, text!", "\u00c9t\u00e9 d'\u00c0", "\u0394\u03a9 stra\u00dfe", "", None, "a\u2003b\ufeffc"]
+    df = spark.createDataFrame([(x,) for x in rows], "t string")
+    got = df.select(text.normalised(F.col("t")), text.tokens(F.col("t"))).collect()
+    assert [r[0] for r in got] == [None if x is None else text.normalise(x) for x in rows]
+    assert [r[1] for r in got] == [None if x is None else text.tokenise(x) for x in rows]
