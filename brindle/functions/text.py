@@ -15,19 +15,26 @@ from pyspark.sql import functions as F
 
 #: Characters that matching ignores, beside the wild card.
 PUNCTUATION = "&/\\#,+()$~%.!^'\";:?[]<>{}"
-#: Letters of Latin-1 and Latin Extended-A that lose a mark; sharp s stays.
-_CODES = [*range(0xC0, 0x180)]
-#: White space that separates words.
-WHITE = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+#: The ranges that have letters with marks, and marks.
+_CODES = [*range(0xC0, 0x20000), *range(0x2F800, 0x2FA20), *range(0xE0100, 0xE01F0)]
+#: White space that separates words, by a text field's option `separators`.
+WHITE = {
+    "unicode": r"[\t-\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]",
+    "ascii": r"[\t\n\f\r ]",
+}
 
 
 def _bare(letter: str) -> str:
-    base = unicodedata.normalize("NFD", letter)[0]
-    return base if base.isascii() and base.isalpha() else letter
+    """Without marks; nothing of a mark.  What doesn't decompose, like sharp s, stays."""
+    base = (c for c in unicodedata.normalize("NFD", letter) if not unicodedata.category(c).startswith("M"))
+    return unicodedata.normalize("NFC", "".join(base))
 
 
-_PAIRS = [(chr(c), _bare(chr(c).lower())) for c in _CODES if chr(c).isalpha() and _bare(chr(c).lower()) != chr(c)]
+# a capital sigma is small here already: lower-casing would make a final one of it at the end of a word
+_PAIRS = [(chr(c), _bare(chr(c))) for c in _CODES if _bare(chr(c)) != chr(c)] + [("\u03a3", "\u03c3")]
+_PAIRS.sort(key=lambda pair: not pair[1])
 MARKED = "".join(a for a, _ in _PAIRS)
+#: Shorter than MARKED: the marks, which are last there, have nothing here.
 UNMARKED = "".join(b for _, b in _PAIRS)
 
 
@@ -38,29 +45,50 @@ def _class(chars: str) -> str:
 def normalised(text: Column, wild: bool = False) -> Column:
     """Without punctuation and marks, in lower case; wild keeps '*'."""
     chars = PUNCTUATION if wild else PUNCTUATION + "*"
-    bare = F.lower(F.regexp_replace(text, _class(chars), ""))
+    bare = F.regexp_replace(text, _class(chars), "")
     # translating is a dear step, and an ASCII text has no marks
-    return F.when(F.octet_length(text) == F.length(text), bare).otherwise(F.translate(bare, MARKED, UNMARKED))
+    unmarked = F.translate(bare, MARKED, UNMARKED)
+    # the byte that begins such letters in UTF-8 is found sooner than the letters
+    apart = F.contains(bare.cast("binary"), F.lit(b"\xe1")) & bare.rlike(f"[{_MIDDLE}{_LAST}]")
+    whole = F.when(apart, _syllables(unmarked)).otherwise(unmarked)
+    return F.when(F.octet_length(text) == F.length(text), F.lower(bare)).otherwise(F.lower(whole))
+
+
+#: Hangul letters that begin a syllable, are its middle or its end, and whole syllables.
+_FIRST, _MIDDLE, _LAST, _SYLLABLE = "\u1100-\u1112", "\u1161-\u1175", "\u11a8-\u11c2", "\uac00-\ud7a3"
+_PARTS = f"(?s)[{_FIRST}][{_MIDDLE}][{_LAST}]?|[{_SYLLABLE}][{_LAST}]|[^{_FIRST}{_SYLLABLE}]+|."
+#: As SQL, since every call of a column function costs a round trip.  A syllable that has its end takes no other.
+_COMPOSE = f"""p -> coalesce(decode(unhex(hex(case
+    when p rlike '^[{_FIRST}][{_MIDDLE}]' then {0xAC00} + ((ascii(p) - {0x1100}) * 21 + ascii(substr(p, 2)) - {0x1161}) * 28
+        + greatest(ascii(substr(p, 3)) - {0x11A7}, 0)
+    when p rlike '^[{_SYLLABLE}].' and (ascii(p) - {0xAC00}) % 28 = 0 then ascii(p) + ascii(substr(p, 2)) - {0x11A7} end)), 'UTF-16BE'), p)"""
+
+
+def _syllables(text: Column) -> Column:
+    """Hangul letters that make a syllable -> the syllable."""
+    parts = F.regexp_extract_all(text, F.lit(_PARTS), 0)
+    return F.array_join(F.call_function("transform", parts, F.expr(_COMPOSE)), "")
 
 
 _DROP = {ord(c): None for c in PUNCTUATION}
-_FOLD = dict(zip(map(ord, MARKED), UNMARKED))
+_FOLD = {ord(a): b for a, b in _PAIRS}
 
 
 def normalise(text: str, wild: bool = False) -> str:
     """`normalised` for a constant on the driver."""
     out = str(text).translate(_DROP)
-    return (out if wild else out.replace("*", "")).lower().translate(_FOLD)
+    bare = (out if wild else out.replace("*", "")).translate(_FOLD)
+    return unicodedata.normalize("NFC", bare).lower()
 
 
-def tokens(text: Column, stop: tuple[str, ...] = ()) -> Column:
+def tokens(text: Column, stop: tuple[str, ...] = (), separators: str = "unicode") -> Column:
     """Normalised words in order, repeats included; null for null."""
-    words = F.array_remove(F.split(normalised(text), WHITE), "")
+    words = F.array_remove(F.split(normalised(text), WHITE[separators]), "")
     return F.filter(words, lambda t: ~t.isin(*stop)) if stop else words
 
 
-def tokenise(text: str) -> list[str]:
-    return [t for t in re.split(WHITE, normalise(text, wild=True)) if t]
+def tokenise(text: str, separators: str = "unicode") -> list[str]:
+    return [t for t in re.split(WHITE[separators], normalise(text, wild=True)) if t]
 
 
 #: English words that carry no topic.

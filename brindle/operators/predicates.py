@@ -172,7 +172,7 @@ def alternatives(fields: list[FieldDef], query: str, lang: str | None = None) ->
         stop = set(text.stop_words(language)) if f.stop else set()
         own = []
         for part in parts:
-            found = [t for t in text.tokenise(part) if text.normalise(t) not in stop]
+            found = [t for t in text.tokenise(part, f.separators) if text.normalise(t) not in stop]
             hits = [h for h in (_word(f, t, language) for t in found) if h is not None]
             if hits:
                 own.append(hits)

@@ -81,7 +81,8 @@ def _default(f: FieldDef, kind: T.DataType) -> Column | None:
 
 def with_defaults(df: DataFrame, ns: Namespace) -> DataFrame:
     """Missing values (null or the empty string) replaced by the declared default, derived single-source
-    fields filled from their source; the stored JSON is untouched."""
+    fields filled from their source; an empty text without a default stays, it has no words; the stored
+    JSON is untouched."""
     for f in ns.fields.values():
         if f.type == "text" and f.sources:
             continue
@@ -92,7 +93,7 @@ def with_defaults(df: DataFrame, ns: Namespace) -> DataFrame:
             value = F.lit(None).cast(kind)
         else:
             kind = df.schema[source].dataType
-            value = coerce.present(F.col(source), kind)
+            value = F.col(source) if f.type == "text" and f.default is None else coerce.present(F.col(source), kind)
         if f.type == "boolean" and not isinstance(kind, T.BooleanType):
             value, kind = F.when(value.isNotNull(), coerce.truth(value, kind)), T.BooleanType()
         own = _default(f, kind)
@@ -151,6 +152,9 @@ def _text(df: DataFrame, f: FieldDef) -> dict[str, Column]:
         parts.append(value)
     if not parts:
         parts = [F.lit(None).cast("string")]
-    whole = parts[0] if len(parts) == 1 else F.nullif(F.concat_ws(" ", *parts), F.lit(""))
-    found = text.tokens(whole, stop)
+    if len(parts) > 1:
+        whole = F.nullif(F.concat_ws(" ", *[F.nullif(p, F.lit("")) for p in parts]), F.lit(""))
+    else:
+        whole = parts[0]
+    found = text.tokens(whole, stop, f.separators)
     return {f.name: whole, words(f.name): text.stems(found, f.lang) if f.stem else found}

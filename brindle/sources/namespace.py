@@ -13,7 +13,7 @@ from . import files
 #: Which options a field type has, and its defaults.
 TYPES = {
     "literal": {"sort", "facet", "source", "prefix", "suffix", "stem", "stopWords"},
-    "text": {"source", "prefix", "suffix", "stem", "stopWords"},
+    "text": {"source", "prefix", "suffix", "stem", "stopWords", "separators"},
     "number": {"sort", "facet"},
     "integer": {"sort", "facet"},
     "smallinteger": {"sort", "facet"},
@@ -22,6 +22,7 @@ TYPES = {
     "geo": set(),
 }
 COMMON = {"type", "index", "array", "defaultValue", "lang", "sortPrecision"}
+SEPARATORS = ("unicode", "ascii")
 RANGES = ("number", "integer", "smallinteger", "date")
 
 
@@ -44,6 +45,7 @@ class FieldDef:
     sources: tuple[str, ...] = ()
     default: object = None
     lang: str = "en"
+    separators: str = "unicode"
 
     @classmethod
     def parse(cls, name: str, told: Mapping, lang: str) -> FieldDef:
@@ -53,6 +55,9 @@ class FieldDef:
         for option in ("sort", "facet", "source"):
             if told.get(option) and option not in TYPES[kind]:
                 raise SchemaError(f"field {name}: a {kind} field has no option {option}")
+        separators = told.get("separators", "unicode")
+        if separators not in SEPARATORS:
+            raise SchemaError(f"field {name}: unknown separators {separators!r}")
         source = told.get("source") or ()
         sources = tuple(s.strip() for s in source.split(",")) if isinstance(source, str) else tuple(source)
         if len(sources) > 1 and kind != "text":
@@ -71,6 +76,7 @@ class FieldDef:
             sources=sources,
             default=told.get("defaultValue"),
             lang=told.get("lang", lang),
+            separators=separators,
         )
 
 

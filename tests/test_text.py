@@ -4,6 +4,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from brindle.functions import text
+from brindle.operators import predicates
+from brindle.sources.indexing import indexed
+from brindle.sources.namespace import Namespace, SchemaError
 
 
 def test_normalised_column_and_constant_agree(spark):
@@ -57,3 +60,33 @@ def test_marks_go_from_any_text(spark):
     got = df.select(text.normalised(F.col("t")), text.tokens(F.col("t"))).collect()
     assert [r[0] for r in got] == [None if x is None else text.normalise(x) for x in rows]
     assert [r[1] for r in got] == [None if x is None else text.tokenise(x) for x in rows]
+
+
+def test_marks_go_from_column_and_constant_alike(spark):
+    odd = "e\u0301 \u01f0 \u0130 \u03a3\u03a3 \u1100\u1161\u11a8 \uac00\u11a8 \uac01\u11a8 \u0905\u0903 \U0001d15e \uf900 \u212a \x1c\x85\u00a0".split(" ")
+    df = spark.createDataFrame([(f"{a}{b}{a}",) for a in odd for b in odd], "t string")
+    got = df.select("t", text.normalised(F.col("t"), wild=True), text.tokens(F.col("t")), text.tokens(F.col("t"), separators="ascii")).collect()
+    for whole, bare, words, ascii_words in got:
+        assert bare == text.normalise(whole, wild=True)
+        assert (words, ascii_words) == (text.tokenise(whole), text.tokenise(whole, "ascii"))
+    assert text.normalise("\u03a3\u03a3 e\u0301 \u1100\u1161\u11a8 \u0130") == "\u03c3\u03c3 e \uac01 i"
+
+
+def test_separators_and_empty_texts_of_fields(spark):
+    fields = {
+        "t": {"type": "text"},
+        "plain": {"type": "text", "source": "t", "separators": "ascii"},
+        "told": {"type": "text", "defaultValue": "cat"},
+        "both": {"type": "text", "source": "t,told"},
+    }
+    ns = Namespace.parse({"name": "n", "prefix": "n", "fields": fields})
+    df = indexed(spark.createDataFrame([("a1\u00a0b1", "dog"), ("", ""), (None, None)], "t string, told string"), ns)
+    assert [tuple(r) for r in df.select("t__tokens", "plain__tokens", "told__tokens", "both").collect()] == [
+        (["a1", "b1"], ["a1\u00a0b1"], ["dog"], "a1\u00a0b1 dog"),
+        ([], [], ["cat"], "cat"),
+        (None, None, ["cat"], "cat"),
+    ]
+    count = lambda name, query: df.where(predicates.condition(ns, name, query)).count()
+    assert [count("t", "b1"), count("plain", "b1"), count("t", "a1\u00a0b1"), count("plain", "a1\u00a0b1"), count("t", "*")] == [1, 0, 1, 1, 1]
+    with pytest.raises(SchemaError):
+        Namespace.parse({"name": "n", "prefix": "n", "fields": {"t": {"type": "text", "separators": "none"}}})
