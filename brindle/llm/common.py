@@ -169,6 +169,19 @@ def portions(batch, column: int, size: int = PORTION) -> Iterator:
         start = end
 
 
+@contextmanager
+def arrow_bytes(spark: SparkSession, size: int = PORTION) -> Iterator[None]:
+    """Arrow batches made inside have about `size` bytes at most (a longer row is one of its own): the
+    default of 64 MB a batch, twice over in an executor and again in Python, is memory outside the heap."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

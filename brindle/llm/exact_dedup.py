@@ -1,8 +1,8 @@
 """Exact deduplication by an exchange of Golomb-coded fingerprints.
 
 1. Each task walks its rows in chunks of bounded size, normalises the texts, and for each chunk
-   sends the sorted distinct fingerprints, cut into owner ranges and Golomb-coded (parameter a
-   power of two), one message per owner.
+   passes its rows on in portions and sends the sorted distinct fingerprints, cut into owner ranges
+   and Golomb-coded (parameter a power of two), one message per owner.
 2. An owner decodes the messages of its range and answers each with a bitmap: which of its
    fingerprints some other chunk holds as well.
 3. Rows whose bit is set, or whose fingerprint repeats inside their own chunk, are suspects.
@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered, owners_for, spread_join, temporary, to_owners, utf8, without_rows, written
+from .common import PORTION, arrow_bytes, numbered, owners_for, portions, spread_join, temporary, to_owners, utf8, without_rows, written
 
 FP_BITS = 48
 CHUNK_BYTES = 32 << 20
@@ -90,45 +90,53 @@ def _send(owners: int, bits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 32
-        chunk, ids, norms, size = 0, [], [], 0
-        for batch in batches:
-            for doc_id, raw, row in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), batch.column(2).to_pylist()):
-                norm = normalise(raw)
-                ids.append((doc_id, row))
-                norms.append(norm)
-                size += len(norm) + 64
-                if size >= CHUNK_BYTES:
-                    yield from emit(base + chunk, ids, norms)
-                    chunk, ids, norms, size = chunk + 1, [], [], 0
-        if ids:
-            yield from emit(base + chunk, ids, norms)
-
-    def emit(chunk: int, ids: list, norms: list[bytes]) -> Iterator[pa.RecordBatch]:
-        digests = [hashlib.sha256(x).digest() for x in norms]
-        prints = np.array([int.from_bytes(x[:8], "big") >> (64 - bits) for x in digests], np.uint64)
+        chunk, held, size = 0, [], 0
+        for part in (part for whole in batches for part in portions(whole, 1)):
+            norms = [normalise(x) for x in utf8(part.column(1))]
+            digests = b"".join(hashlib.sha256(x).digest() for x in norms)
+            # numbers are copied: a slice would keep its whole batch, texts and all
+            doc_ids, row_ids = (pa.array(part.column(i).to_pylist(), pa.int64()) for i in (0, 2))
+            held.append((doc_ids, row_ids, digests, pa.array(norms, pa.binary())))
+            size += sum(map(len, norms)) + 64 * len(norms)
+            if size >= CHUNK_BYTES:
+                yield from emit(base + chunk, held)
+                chunk, held, size = chunk + 1, [], 0
+        if held:
+            yield from emit(base + chunk, held)
+
+    def emit(chunk: int, held: list) -> Iterator[pa.RecordBatch]:
+        """held: the chunk's portions, let go one by one as they are sent."""
+        words = np.frombuffer(b"".join(digests for _, _, digests, _ in held), ">u8")
+        prints = words[::4].astype(np.uint64) >> np.uint64(64 - bits)
         keys, back, counts = np.unique(prints, return_inverse=True, return_counts=True)
         owner = keys // np.uint64(span)
         cuts = np.flatnonzero(np.diff(owner, prepend=np.uint64(owners + 1)))
         ends = np.append(cuts[1:], len(keys))
         sizes = ends - cuts
         first = np.repeat(cuts, sizes)
-        n = len(ids)
-        yield pa.record_batch(
-            [
-                pa.array(np.zeros(n, np.int32)),
-                pa.array(np.full(n, chunk)),
-                pa.array(owner[back].astype(np.int32)),
-                pa.array((np.arange(len(keys)) - first)[back].astype(np.int32)),
-                pa.array(counts[back] > 1),
-                pa.array(np.arange(n, dtype=np.int32)),
-                pa.array([x for x, _ in ids], pa.int64()),
-                pa.array([x for _, x in ids], pa.int64()),
-                pa.array([x.hex() for x in digests]),
-                pa.array(norms, pa.binary()),
-                pa.nulls(n, pa.binary()),
-            ],
-            names=NAMES,
-        )
+        start = 0
+        held.reverse()
+        while held:
+            doc_ids, row_ids, digests, norms = held.pop()
+            n = len(norms)
+            mine = back[start : start + n]
+            yield pa.record_batch(
+                [
+                    pa.array(np.zeros(n, np.int32)),
+                    pa.array(np.full(n, chunk)),
+                    pa.array(owner[mine].astype(np.int32)),
+                    pa.array((mine - first[mine]).astype(np.int32)),
+                    pa.array(counts[mine] > 1),
+                    pa.array(np.arange(start, start + n, dtype=np.int32)),
+                    doc_ids,
+                    row_ids,
+                    pa.array([digests[i : i + 32].hex() for i in range(0, 32 * n, 32)], pa.string()),
+                    norms,
+                    pa.nulls(n, pa.binary()),
+                ],
+                names=NAMES,
+            )
+            start += n
         ks = [golomb_parameter(span, int(m)) for m in sizes]
         m = len(cuts)
         yield pa.record_batch(
@@ -213,7 +221,9 @@ def duplicate_classes(
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), row.alias("row_id")
     )
     more = ["row_id"] if row_col else []
-    sent = written(source.mapInArrow(_send(owners, fp_bits), SENT), "exact-sent", by="kind")
+    # not parted by kind: Spark would sort the rows, texts and all, to write them so
+    with arrow_bytes(spark, PORTION):
+        sent = written(source.mapInArrow(_send(owners, fp_bits), SENT), "exact-sent")
 
     messages = sent.where("kind = 1").select("chunk", "owner", F.col("slot").alias("n"), "pos", "payload")
     answers = written(

@@ -3,11 +3,13 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
 from brindle.llm import exact_dedup as E
+from brindle.llm.common import PORTION
 
 
 @given(st.sets(st.integers(0, (1 << 48) - 1), min_size=1, max_size=200), st.integers(0, 47))
@@ -102,3 +104,67 @@ def test_a_hot_class_without_adaptive_execution(spark, monkeypatch):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert rows == brute([tuple(r) for r in df.collect()])
+
+
+def sent(monkeypatch, texts, owners=7, rows=None):
+    """What a task with these texts, in batches of `rows`, passes on; its largest batch."""
+    monkeypatch.setattr(E, "TaskContext", type("Task", (), {"get": staticmethod(lambda: type("T", (), {"partitionId": lambda self: 3})())}))
+    whole = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts), pa.nulls(len(texts), pa.int64())], names=["doc_id", "text", "row_id"])
+    rows = rows or len(texts)
+    out, most = [], 0
+    for batch in E._send(owners, E.FP_BITS)(whole.slice(i, rows) for i in range(0, len(texts), rows)):
+        most = max(most, batch.nbytes)
+        out += batch.to_pylist()
+    return out, most
+
+
+def test_a_task_passes_its_rows_on_in_portions(monkeypatch):
+    """One batch of a whole chunk was held twice by Python and once more by the executor, outside its heap."""
+    texts = [f"{i % 50} " + "x" * (1 << 20) for i in range(80)]
+    rows, most = sent(monkeypatch, texts)
+    assert most < 2 * PORTION
+    assert sorted(r["doc_id"] for r in rows if r["kind"] == 0) == list(range(80))
+    assert len({r["chunk"] for r in rows}) == 3  # chunks are as large as ever
+
+
+@pytest.mark.parametrize("batch, portion, chunk", [(9, 40, 700), (200, 1, 1), (1, 10**6, 300), (200, 10**6, 10**6)])
+def test_places_in_messages_whatever_the_portions(monkeypatch, batch, portion, chunk):
+    texts = [None if i % 29 == 0 else f"text  {i % 83}" for i in range(200)]
+    monkeypatch.setattr(E, "CHUNK_BYTES", chunk)
+    monkeypatch.setattr(E, "portions", lambda b, column, f=E.portions: f(b, column, portion))
+    rows, _ = sent(monkeypatch, texts, rows=batch)
+    span = -(-(1 << E.FP_BITS) // 7)
+    prints = {
+        (r["chunk"], r["owner"]): E.golomb_decode(r["payload"], r["slot"], r["pos"]) + np.uint64(r["owner"] * span) for r in rows if r["kind"] == 1
+    }
+    own = [r for r in rows if r["kind"] == 0]
+    assert [r["doc_id"] for r in own] == list(range(200))
+    assert len({(r["chunk"], r["pos"]) for r in own}) == 200
+    for r in own:
+        digest = hashlib.sha256((texts[r["doc_id"]] or "").replace("  ", " ").encode()).digest()
+        assert r["text_sha256"] == digest.hex()
+        assert prints[r["chunk"], r["owner"]][r["slot"]] == int.from_bytes(digest[:6], "big")
+        assert r["twice"] == (sum(x["chunk"] == r["chunk"] and x["text_sha256"] == r["text_sha256"] for x in own) > 1)
+
+
+def test_tasks_get_texts_in_small_batches(spark, monkeypatch):
+    """Arrow batches of 10,000 rows of any length were up to 64 MB, in the executor and again in Python."""
+    send, most = E._send, 2 * PORTION
+
+    def watched(owners, bits):
+        def run(batches):
+            def small():
+                for batch in batches:
+                    assert batch.nbytes < most, batch.nbytes
+                    yield batch
+
+            return send(owners, bits)(small())
+
+        return run
+
+    monkeypatch.setattr(E, "_send", watched)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    df = spark.range(0, 3000, 1, 1).selectExpr("id as doc_id", "concat(id div 2, repeat('x', 6000)) as text")
+    assert E.duplicate_classes(df).where("kept").count() == 1500
+    assert spark.conf.get(key) == before
