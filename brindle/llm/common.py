@@ -65,7 +65,7 @@ def temporary(spark: SparkSession) -> Iterator[None]:
             _delete(spark, path)
 
 
-def written(df: DataFrame, name: str, by: str | None = None, keep: bool = False) -> DataFrame:
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: cuts the lineage,
     survives lost executors, and fixes whatever was numbered by task.  A table to keep outlives
     the innermost `temporary`."""
@@ -74,10 +74,7 @@ def written(df: DataFrame, name: str, by: str | None = None, keep: bool = False)
     held = _open.get()[:-1] if keep else _open.get()
     if held:
         held[-1].append(path)
-    writer = df.write.option("compression", "zstd")
-    if by:
-        writer = writer.partitionBy(by)
-    writer.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
